@@ -28,17 +28,14 @@ def parse_bank_description(c: Column | str, first_token_fallback: bool = False)
     the ids stay. With ``first_token_fallback`` a first word that is three parts joined by underscores also counts.
     """
     text = as_col(c)
-
-    def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, DESCRIPTION_PATTERN, i), F.lit(""))
-
-    account = group(4)
-    main = _parsed(
-        F.when(account.isin(*PL_ACCOUNTS), account), F.upper(group(1)), F.upper(group(2)), group(3)
-    )
-    if not first_token_fallback:
-        return main
-    return F.when(group(1).isNotNull(), main).otherwise(simple_token_ids(text))
+    # one search for the whole match, then a split of that short piece
+    match = F.regexp_extract(text, DESCRIPTION_PATTERN, 0)
+    parts = F.split(match, r"[_\s]+")
+    found = match != ""
+    account = F.get(parts, F.lit(3))
+    line, product = (F.when(found, F.upper(F.get(parts, F.lit(i)))) for i in (0, 1))
+    main = _parsed(F.when(account.isin(*PL_ACCOUNTS), account), line, product, F.get(parts, F.lit(2)))
+    return F.when(found, main).otherwise(simple_token_ids(text)) if first_token_fallback else main
 
 
 def simple_token_ids(c: Column | str) -> Column:

@@ -25,6 +25,7 @@ from ..functions.listing import VARIATION_FIELDS, clean_description, extract_var
 from ..functions.money import is_vnd, parse_currency, statement_amount, to_usd, usd_currency, vnd_to_usd
 from ..functions.statement import categorize_fee_type, categorize_revenue_type, extract_id_from_info
 from ..functions.text import (
+    WHITESPACE,
     as_col,
     clean_text,
     null_tokens,
@@ -198,14 +199,14 @@ def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFr
     money = ("credit_amount", "debit_amount", "balance_after_transaction")
     missing = [c for c in (*text, *dates, *money) if c not in df.columns]
     df = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
-    account = clean_text(strip("account_number"))
+    account = clean_text("account_number")
     changes: dict[str, Column] = {
         "account_number": account,
-        "account_name": F.coalesce(clean_text(strip("account_name")), account),
+        "account_name": F.coalesce(clean_text("account_name"), account),
     }
     changes |= {c: day_first_date(c) for c in dates}
     changes |= {
-        c: F.regexp_replace(as_col(c), r"[,\s]", "").try_cast("decimal(15,2)") for c in money
+        c: F.translate(as_col(c), "," + WHITESPACE, "").try_cast("decimal(15,2)") for c in money
     }
     changes["__parsed"] = parse_bank_description("transaction_description", first_token_fallback)
     out = _apply(df, changes)

@@ -20,7 +20,6 @@ def local_session(cores: str = "*", app: str = "shopledger", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
