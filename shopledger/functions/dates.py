@@ -25,7 +25,7 @@ def day_first_date(c: Column | str) -> Column:
     # the shape decides the format: a failed parse raises inside and is far slower than a successful one
     return (
         F.when(text.contains("/"), F.try_to_date(text, "d/M/yyyy"))
-        .when(F.substring(text, 5, 1) == "-", F.try_to_date(text, "yyyy-M-d"))
+        .when(text.rlike(r"^\d{4}-"), F.try_to_date(text, "yyyy-M-d"))
         .when(text.contains("-"), F.try_to_date(text, "d-M-yyyy"))
     )
 

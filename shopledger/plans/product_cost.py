@@ -72,17 +72,25 @@ def _with_order_ids(totals: DataFrame, pos: DataFrame, per_part: int) -> DataFra
 
 
 def order_totals(pos: DataFrame) -> DataFrame:
-    return pos.groupBy("order_id").agg(F.sum("sales").cast(CENTS).alias("order_sales"))
+    return pos.groupBy("order_id").agg(
+        F.sum("sales").cast(CENTS).alias("order_sales"), F.sum("unit").alias("order_unit")
+    )
 
 
-def order_ratio(sales: DataFrame) -> DataFrame:
-    """(order_id, product_id, sales, order_sales, ratio): the share of each product in its order; 0 if nothing was sold.
+def with_order_totals(pos: DataFrame) -> DataFrame:
+    """Product sales per order with the order's total; rows of no order have none.
 
     Totals are joined back rather than taken by a window: a hot order is reduced before the shuffle, and the join can be
-    split at run time.
+    split at run time. The row counts are compared (always true) so that both sides need the same columns of ``pos``: then
+    they share one shuffle instead of aggregating the fact twice.
     """
-    pos = product_order_sales(sales)
     joined = pos.join(order_totals(pos), "order_id", "left")
+    return joined.filter(F.coalesce(F.col("order_unit") >= F.col("unit"), F.col("unit") > 0)).drop("order_unit")
+
+
+def order_ratio(sales: DataFrame) -> DataFrame:
+    """(order_id, product_id, sales, order_sales, ratio): the share of each product in its order; 0 if nothing was sold."""
+    joined = with_order_totals(product_order_sales(sales))
     share = F.round(F.col("sales").cast(_PART) / F.nullif(F.col("order_sales").cast(_PART), _zero(_PART)), 8)
     ratio = F.when(F.col("order_sales") > 0, share).otherwise(F.lit(0)).cast("decimal(18,8)")
     return joined.select("order_id", "product_id", "sales", "order_sales", ratio.alias("ratio"))
@@ -123,7 +131,7 @@ def _with_charges(pos: DataFrame, charges: DataFrame, ratio_scope: str) -> DataF
     Scope 'order' divides by the order's sales; scope 'product' looks at one product alone, so that its share is 1.
     """
     if ratio_scope == "order":
-        joined, whole = pos.join(order_totals(pos), "order_id", "left"), F.col("order_sales")
+        joined, whole = with_order_totals(pos), F.col("order_sales")
     elif ratio_scope == "product":
         joined, whole = pos, F.col("sales")
     else:
@@ -265,8 +273,7 @@ def fee_breakdown(
     """Platform fees per product and fee name, each statement line under the first name that fits; positive sums only."""
     pos = product_order_sales(sales, product if ratio_scope == "product" else None)
     if ratio_scope == "order":
-        pos = pos.join(order_totals(pos), "order_id", "left")
-        whole = F.col("order_sales")
+        pos, whole = with_order_totals(pos), F.col("order_sales")
     else:
         whole = F.col("sales")
     if product is not None:

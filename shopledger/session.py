@@ -20,6 +20,8 @@ def local_session(cores: str = "*", app: str = "shopledger", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # no call-site lookup per column expression: plans build several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
