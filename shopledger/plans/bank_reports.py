@@ -208,7 +208,8 @@ def browse_bank_transactions(
         .join(by_key, "product_catalog_key", "left")
         .join(by_ids, list(PARSED), "left")
     )
-    out = out.select(
+    # sorted before null amounts read 0: they sort as nulls
+    return out.orderBy(*order).select(
         "bank_transaction_key",
         "transaction_date",
         "reference_number",
@@ -223,7 +224,6 @@ def browse_bank_transactions(
         "balance_after_transaction",
         "is_business_related",
     )
-    return out.orderBy(*order)
 
 
 def filter_accounts(summary: DataFrame, search: str | None = None, currency: str | None = None) -> DataFrame:

@@ -71,10 +71,16 @@ def _with_order_ids(totals: DataFrame, pos: DataFrame, per_part: int) -> DataFra
     return joined.withColumn("order_ids", F.coalesce("order_ids", empty))
 
 
+def _order_ref() -> Column:
+    """Order id as a join key; -1 stands for "no order", which no id is.
+
+    A key that cannot be null keeps the optimizer from filtering nulls on one side only, see ``with_order_totals``.
+    """
+    return F.coalesce(F.col("order_id"), F.lit(-1)).alias("order_ref")
+
+
 def order_totals(pos: DataFrame) -> DataFrame:
-    return pos.groupBy("order_id").agg(
-        F.sum("sales").cast(CENTS).alias("order_sales"), F.sum("unit").alias("order_unit")
-    )
+    return pos.groupBy(_order_ref()).agg(F.sum("sales").cast(CENTS).alias("order_sales"), F.sum("unit").alias("order_unit"))
 
 
 def with_order_totals(pos: DataFrame) -> DataFrame:
@@ -84,8 +90,9 @@ def with_order_totals(pos: DataFrame) -> DataFrame:
     split at run time. The row counts are compared (always true) so that both sides need the same columns of ``pos``: then
     they share one shuffle instead of aggregating the fact twice.
     """
-    joined = pos.join(order_totals(pos), "order_id", "left")
-    return joined.filter(F.coalesce(F.col("order_unit") >= F.col("unit"), F.col("unit") > 0)).drop("order_unit")
+    joined = pos.withColumn("order_ref", _order_ref()).join(order_totals(pos), "order_ref")
+    whole = F.when(F.col("order_id").isNotNull(), F.col("order_sales"))
+    return joined.filter(F.col("order_unit") >= F.col("unit")).drop("order_unit").withColumn("order_sales", whole)
 
 
 def order_ratio(sales: DataFrame) -> DataFrame:
@@ -133,10 +140,10 @@ def _with_charges(pos: DataFrame, charges: DataFrame, ratio_scope: str) -> DataF
     if ratio_scope == "order":
         joined, whole = with_order_totals(pos), F.col("order_sales")
     elif ratio_scope == "product":
-        joined, whole = pos, F.col("sales")
+        joined, whole = pos.withColumn("order_ref", _order_ref()), F.col("sales")
     else:
         raise ValueError(f"unknown ratio scope {ratio_scope!r}")
-    joined = joined.join(charges, "order_id", "left")
+    joined = joined.join(charges.withColumnRenamed("order_id", "order_ref"), "order_ref", "left")
     return joined.withColumns(
         {
             "refund": share_of(F.col("refund_amount"), F.col("sales"), whole),

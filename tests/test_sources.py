@@ -145,10 +145,12 @@ def test_csv_export_quotes(spark, tmp_path):
     assert files.scan_csv(spark, path).first().x == 'a "b", c'
 
 
-def test_shared_dir_is_the_checkpoint_dir(spark):
+def test_shared_dir_is_the_one_the_session_names(spark):
+    class Named:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default=None):
+                return "/shared/folder" if name == "spark.checkpoint.dir" else default
+
+    assert shared_dir(Named()) == "/shared/folder"
     assert shared_dir(spark) == shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/named")
-    try:
-        assert shared_dir(spark) == "/tmp/named"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
