@@ -6,8 +6,6 @@ the display ``currency``. Revenue is item total minus discount. Rows whose date
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -320,12 +318,12 @@ def month_aggregates(sales, payments, dim_time, start, end) -> DataFrame:
 def comparison_percentages(sales, payments, dim_time, month1: str, month2: str, digits: int = 4) -> DataFrame:
     """Orders, revenue and profit of month 1 as a percentage of month 2; null where month 2 has 0."""
     first, second = (month_aggregates(sales, payments, dim_time, *_bounds(m)) for m in (month1, month2))
-    both = first.select(F.lit(1).alias("k"), *[F.col(c).alias(f"m1_{c}") for c in first.columns]).join(
-        second.select(F.lit(1).alias("k"), *[F.col(c).alias(f"m2_{c}") for c in second.columns]), "k"
-    )
+    labelled = first.withColumn("m", F.lit(1)).unionByName(second.withColumn("m", F.lit(2)))
+    values = [(i, c) for i in (1, 2) for c in first.columns]
+    both = labelled.agg(*[F.max(F.when(F.col("m") == i, F.col(c))).alias(f"m{i}_{c}") for i, c in values])
     parts = {"orders_count": "orders_pct", "revenue": "revenue_pct", "profit": "profit_pct"}
     percent = [ratio(F.col(f"m1_{c}") * 100, F.col(f"m2_{c}"), digits).alias(name) for c, name in parts.items()]
-    return both.select(*percent, *[c for c in both.columns if c != "k"])
+    return both.select(*percent, *both.columns)
 
 
 def usd_to_display(df: DataFrame, columns, currency: str = "USD") -> DataFrame:
@@ -333,12 +331,6 @@ def usd_to_display(df: DataFrame, columns, currency: str = "USD") -> DataFrame:
     return df.withColumns({c: in_currency(F.col(c), currency) for c in columns})
 
 
-def month_before(period: str) -> str:
-    """The month before ``YYYY-MM``."""
-    first = dt.date(int(period[:4]), int(period[5:7]), 1)
-    return (first - dt.timedelta(days=1)).strftime("%Y-%m")
-
-
 # Display names of the report columns.
 DISPLAY_NAMES = {
     "total_revenue": "Total Revenue (USD)",
