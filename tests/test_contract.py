@@ -39,8 +39,11 @@ def duck():
     return con
 
 
-def test_every_query_has_a_twin():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+def test_every_query_of_the_shop_has_a_twin():
+    from shopledger.registry import oracle, queries
+
+    assert queries.queries().keys() == oracle.oracle_sql().keys()
+    assert oracle.oracle_sql().keys() <= contract.oracle_sql().keys() <= contract.queries().keys()
 
 
 @pytest.mark.parametrize("name", SAMPLE)
