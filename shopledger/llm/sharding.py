@@ -102,9 +102,8 @@ def shard_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[int,
     if total is None:
         return 0, [0] * shards
 
-    def summary(intervals: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(first, last, number) of boundaries per cell inside the intervals; cells share their widths out evenly."""
-        width = max(1, -(-sum(b - a + 1 for a, b in intervals) // cells))
+    def summary(intervals: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
+        """(first, last, number) of boundaries per cell of ``width`` inside the intervals."""
         inside = F.lit(False)
         for a, b in intervals:
             inside = inside | F.col("upto").between(a, b)
@@ -112,10 +111,12 @@ def shard_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[int,
         return sorted(tuple(r)[1:] for r in found.agg(F.min("upto"), F.max("upto"), F.count("*")).collect())
 
     known, spans = {0, total}, []
-    intervals = [(1, total)]
+    intervals, width = [(1, total)], 2 * total
     least = max(largest, -(-total // shards))
     while True:
-        cells_read = summary(intervals)
+        # finer each time: the intervals shared out over the cells, half the width before at most
+        width = max(1, min(width // 2, -(-sum(b - a + 1 for a, b in intervals) // cells)))
+        cells_read = summary(intervals, width)
         spans = [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b in intervals)] + [(f, e) for f, e, n in cells_read if n > 2]
         known |= {b for f, e, _ in cells_read for b in (f, e)}
         places = sorted(known)
@@ -125,8 +126,10 @@ def shard_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[int,
         low = smallest_capacity(places, shards, least, reach)
         if low == high or not spans:
             return high, balanced_cuts(places, high, shards)
-        near, far = greedy_cuts(places, low, shards), greedy_cuts(places, high, shards)
-        intervals = [s for s in spans if any(a <= s[1] and s[0] <= b for a, b in zip(near + [total] * (len(far) - len(near)), far, strict=False))]
+        # cut j of the optimum is no less than that of the lower capacity at known places, no more than that of the upper anywhere
+        near, far = greedy_cuts(places, low, shards), greedy_cuts(places, high, shards, reach)
+        near += [near[-1] if near else 0] * (len(far) - len(near))
+        intervals = [s for s in spans if any(a <= s[1] and s[0] <= b for a, b in zip(near, far, strict=False))]
         if not intervals:
             return high, balanced_cuts(places, high, shards)
         intervals = _merged(intervals)
