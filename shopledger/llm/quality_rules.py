@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 GRAM = 4
 MAX_TRUSTED = 50_000
 #: Mean log ratio per n-gram below which a document is further from the target than from the raw corpus.
-THRESHOLD = -0.05
+THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
