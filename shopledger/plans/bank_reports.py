@@ -12,7 +12,6 @@ from ..functions.text import as_col
 from ..operators.filters import date_filter, valid_date
 
 CENTS = "decimal(20,2)"
-MAX_PAGE = 5000
 
 
 def _or_zero(name: str) -> Column:
@@ -196,13 +195,6 @@ def browse_bank_transactions(
         *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
     )
     named = accounts.select("bank_account_key", "account_name")
-    if limit is not None and limit <= MAX_PAGE:
-        # the page holds at most MAX_PAGE rows, a proven bound: broadcast its keys to pick the few lookup rows it needs
-        def only(lookup: DataFrame, on: list[str]) -> DataFrame:
-            return lookup.join(F.broadcast(cut.select(*on).distinct()), on, "left_semi")
-
-        by_key, by_ids = only(by_key, ["product_catalog_key"]), only(by_ids, list(PARSED))
-        named = only(named, ["bank_account_key"])
     out = (
         cut.join(named, "bank_account_key", "left")
         .join(by_key, "product_catalog_key", "left")

@@ -53,8 +53,8 @@ def sku_order_ids(pos: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFra
 
 
 def sales_by_sku(sales: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFrame:
-    """Sales, units and order ids per product. With more than ``per_part`` orders a product has null ``order_ids`` here;
-    ``sku_order_ids`` lists them in parts."""
+    """Sales, units and order ids per product. With more than ``per_part`` orders a product has a row per part of its ids,
+    each with the product's totals; no id is left out."""
     pos = product_order_sales(sales)
     totals = pos.groupBy("product_id").agg(
         F.sum("sales").cast(CENTS).alias("sales"),
@@ -65,8 +65,8 @@ def sales_by_sku(sales: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFr
 
 
 def _with_order_ids(totals: DataFrame, pos: DataFrame, per_part: int) -> DataFrame:
-    single = sku_order_ids(pos, per_part).filter("parts = 1").select("product_id", "order_ids")
-    joined = totals.join(single, "product_id", "left")
+    listed = sku_order_ids(pos, per_part).select("product_id", "order_ids")
+    joined = totals.join(listed, "product_id", "left")
     empty = F.when(F.coalesce("order_count", F.lit(0)) == 0, F.lit(""))
     return joined.withColumn("order_ids", F.coalesce("order_ids", empty))
 

@@ -16,21 +16,9 @@ from ..operators.dimensions import build_dim_time
 CALENDAR = ("1995-01-01", "2002-12-31")
 
 
-# The key by which a table is spread when its files have fewer splits than the cluster has cores.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
-
-    The test tables are single files with one row group, which one task reads. Such a file is spread over the cores by the
-    key it is joined on; a table with enough splits is read as it lies.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, SPREAD_KEYS[name])
-    return df
+    """One driver table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def dec(c: str, kind: str = "decimal(15,2)") -> Column:

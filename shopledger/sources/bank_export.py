@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..constants import BANK_HEADER_WORDS
 from .files import text_schema
 
-MAX_COLUMNS = 40
+#: Cells read per row; a wider row is an error.
+MAX_COLUMNS = 64
 
 
 def read_bank_export(spark: SparkSession, paths: str | Sequence[str], max_columns: int = MAX_COLUMNS) -> DataFrame:
@@ -23,11 +24,12 @@ def read_bank_export(spark: SparkSession, paths: str | Sequence[str], max_column
     """
     cells = [f"c{i}" for i in range(max_columns)]
     rows = (
-        spark.read.schema(text_schema(cells))
+        spark.read.schema(text_schema([*cells, "beyond"]))
         .options(header=False, quote='"', escape='"', encoding="UTF-8")
         .csv(paths)
         .select(
-            *cells,
+            F.when(F.col("beyond").isNotNull(), F.raise_error(F.lit(f"a bank export has more than {max_columns} columns"))).otherwise(F.col(cells[0])).alias(cells[0]),
+            *cells[1:],
             F.col("_metadata.file_path").alias("file"),
             F.struct(
                 F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
