@@ -24,8 +24,9 @@ from .common import WORD_SPACE, arrow_pass, read_table, ship_package, words_of
 BUCKETS = 1 << 16
 GRAM = 4
 MAX_TRUSTED = 50_000
-#: Mean log ratio per n-gram below which a document is further from the target than from the raw corpus.
-THRESHOLD = -0.1
+#: Mean log ratio per n-gram below which a document is rejected. Held-out clean documents score -0.67 and more on 1,000
+#: documents (a language that the target hardly has) and -0.12 and more on 4,000; symbol and shouting junk has a median near -1.7.
+THRESHOLD = -0.7
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
