@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: White space of the word rules: words are the longest runs of other bytes. ``bytes.split()`` cuts at exactly these.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
@@ -69,6 +71,34 @@ def _to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
+class Workspace:
+    """Intermediate tables of one operator in the shared folder, deleted as soon as no later step reads them.
+
+    Whatever an operator returns is stored before the tables it came from go, so no lost task needs a deleted file.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once as Parquet and read it back."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((stored, path))
+        return stored
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        left = [(df, path) for df, path in self.paths if any(df is t for t in tables)]
+        for path in {p for _, p in self.paths} - {p for _, p in left}:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths = left
+        jvm.System.gc()  # Spark's cleaner removes shuffle files once the driver has collected the plans of finished writes
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The UTF-8 words of a text; a null text has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import through_table
-from .common import arrow_pass, read_table, ship_package
+from .common import Workspace, arrow_pass, read_table, ship_package
 from .components import components
 
 WORDS = 4
@@ -140,48 +139,52 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             prefix = ordered[: n - (percent * n + 99) // 100 + 1] if n else ordered
             yield doc, n, xxhash.xxh3_128_digest(grams.tobytes()) if n else None, prefix.view(np.int64).tolist()
 
-    sets = through_table(arrow_pass(rows, describe, "doc_id long, n long, set_key binary, prefix array<long>"), "sets")
+    space = Workspace(spark)
+    sets = space.table(arrow_pass(rows, describe, "doc_id long, n long, set_key binary, prefix array<long>"), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
-    classes = through_table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = space.table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     # rows that are not the first of their class drop out before any prefix is shuffled
-    copies = through_table(known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select("doc_id"), "copies")
+    copies = space.table(known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select("doc_id"), "copies")
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     firsts = known.join(side, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n", "prefix")
 
     each = firsts.select("rep", "n", F.posexplode("prefix").alias("at", "gram"))
     shared = each.groupBy("gram").agg(F.count("*").alias("holders"), F.min(F.struct("rep", "n", "at")).alias("first")).filter("holders > 1")
-    buckets = through_table(each.join(shared, "gram").select("gram", "rep", "n", "at", "first"), "buckets")
+    buckets = space.table(each.join(shared, "gram").select("gram", "rep", "n", "at", "first"), "buckets")
     # sizes that can link, and a place in both prefixes from which the overlap can still be reached
     reach = "(100 + {p}) * least(a_n - a_at, b_n - b_at) >= {p} * (a_n + b_n)".format(p=percent)
     near = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {reach}"
     stars = buckets.filter("rep <> first.rep").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("a_n"), F.col("n").alias("b_n"), F.col("first.at").alias("a_at"), F.col("at").alias("b_at"))
-    pairs = through_table(stars.filter(near).select("a", "b", "a_n", "b_n").distinct(), "pairs")
+    pairs = space.table(stars.filter(near).select("a", "b", "a_n", "b_n").distinct(), "pairs")
     links = tested_links(rows, firsts, pairs, flags, words, percent, cells)
 
     found = components(links)
-    placed = through_table(buckets.join(found, buckets["rep"] == found["node"], "left").select("gram", "rep", "n", "at", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = space.table(buckets.join(found, buckets["rep"] == found["node"], "left").select("gram", "rep", "n", "at", F.coalesce("component", "rep").alias("component")), "placed")
     # where an n-gram's documents are in several components: those outside its largest one, against all others
     sizes = placed.groupBy("gram", "component").count()
     mixed = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).filter("parts > 1")
-    open_rows = through_table(placed.join(mixed, "gram"), "open")
+    open_rows = space.table(placed.join(mixed, "gram"), "open")
+    space.keep(sets, classes, copies, pairs, open_rows)
     a = open_rows.filter("component <> main").select("gram", F.col("rep").alias("x"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("x_part"))
     b = open_rows.select("gram", F.col("rep").alias("y"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("y_part"))
     rest = a.join(b, "gram").filter(f"x_part <> y_part and {near}")  # one condition of the join: what fails it is never a row
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(F.col("x") < F.col("y"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n"))
-    rest = through_table(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    all_links = links if rest.isEmpty() else through_table(links.union(tested_links(rows, firsts, rest, flags, words, percent, cells)), "links")
+    rest = space.table(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    all_links = links if rest.isEmpty() else space.table(links.union(tested_links(rows, firsts, rest, flags, words, percent, cells)), "links")
     final = found if rest.isEmpty() else components(all_links)
 
     ends = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
     by_class = classes.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
     by_class = by_class.select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("count", F.lit(0)).alias("n_links"))
     members = sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
-    return members.select(
+    out = space.table(members.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    ), "members")
+    space.keep(out)
+    return out
 
 
-def possible_pairs(firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def possible_pairs(firsts: DataFrame, pairs: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Those ``pairs`` whose prefixes share enough: the set whose prefix ends first adds at most its other n-grams to that."""
     left = firsts.select(F.col("rep").alias("a"), F.col("prefix").alias("a_prefix"))
     right = firsts.select(F.col("rep").alias("b"), F.col("prefix").alias("b_prefix"))
@@ -189,14 +192,15 @@ def possible_pairs(firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFra
     rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
     most = shared + rest
     enough = (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
-    return through_table(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b", "a_n", "b_n").distinct(), "possible")
+    return space.table(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b", "a_n", "b_n").distinct(), "possible")
 
 
 def tested_links(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, flags, words: int, percent: int, cells: int) -> DataFrame:
     """(a, b) of stored ``pairs`` (a, b, a_n, b_n) that link: overlaps counted per fragment and summed. Stored."""
-    pairs = possible_pairs(firsts, pairs, percent)
+    space = Workspace(rows.sparkSession)
+    pairs = possible_pairs(firsts, pairs, percent, space)
     roles = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("id"), F.lit(False).alias("is_a")))).alias("r"))
-    ids = through_table(roles.groupBy(F.col("r.id").alias("wanted")).agg(F.bool_or("r.is_a").alias("is_a"), F.bool_or(~F.col("r.is_a")).alias("is_b")), "ids")
+    ids = space.table(roles.groupBy(F.col("r.id").alias("wanted")).agg(F.bool_or("r.is_a").alias("is_a"), F.bool_or(~F.col("r.is_a")).alias("is_b")), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = rows.join(side, F.col("doc_id") == F.col("wanted")).select("doc_id", "text", "is_a", "is_b")
 
@@ -210,7 +214,7 @@ def tested_links(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, flags, wo
                     if len(part):
                         yield doc, half * FRAGMENTS + i, part.tobytes(), is_a, is_b
 
-    fragments = through_table(arrow_pass(wanted, cut, "doc_id long, fragment int, grams binary, is_a boolean, is_b boolean"), "fragments")
+    fragments = space.table(arrow_pass(wanted, cut, "doc_id long, fragment int, grams binary, is_a boolean, is_b boolean"), "fragments")
     left = fragments.filter("is_a").select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("a_grams"))
     right = fragments.filter("is_b").select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("b_grams"))
     joined = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
@@ -222,7 +226,9 @@ def tested_links(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, flags, wo
     partial = arrow_pass(joined.select("a", "b", "fragment", "a_grams", "b_grams"), overlap, "a long, b long, fragment int, overlap long")
     # a repeated row gives the same overlap again: one per pair and fragment counts
     sums = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return through_table(pairs.join(sums, ["a", "b"]).filter(f"100 * overlap >= {percent} * (a_n + b_n - overlap)").select("a", "b"), "links")
+    links = space.table(pairs.join(sums, ["a", "b"]).filter(f"100 * overlap >= {percent} * (a_n + b_n - overlap)").select("a", "b"), "links")
+    space.keep(links)
+    return links
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,16 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import through_table
-from .common import WORD_SPACE_PATTERN, read_table, replace_column
+from .common import WORD_SPACE_PATTERN, Workspace, read_table, replace_column
 
 MIN_LINES = 2
 
 
-def numbered_keys(keys: DataFrame, columns: list[str], parts: int) -> DataFrame:
+def numbered_keys(keys: DataFrame, columns: list[str], parts: int, space: Workspace) -> DataFrame:
     """``keys`` (distinct) with their rank from 0 in the order of ``columns``. Stored."""
     spark = keys.sparkSession
-    ranged = through_table(keys.repartitionByRange(parts, *columns).withColumn("part", F.spark_partition_id()), "keys")
+    ranged = space.table(keys.repartitionByRange(parts, *columns).withColumn("part", F.spark_partition_id()), "keys")
     before, total = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("part").count().collect()):  # a row per partition
         before.append((part, total))
@@ -51,24 +50,26 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("doc_id", F.col("found.line").alias("line"), "at", F.sha2("found.value", 256).alias("key"))
 
 
-def suffix_ranks(lines: DataFrame, min_lines: int) -> DataFrame:
+def suffix_ranks(lines: DataFrame, min_lines: int, space: Workspace) -> DataFrame:
     """(doc_id, at, line, rank): suffixes whose first ``min_lines`` lines occur at least twice, with the rank of that prefix.
 
     ``lines`` (doc_id, at, line, key) is a stored table, with one row per suffix.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     twice = lines.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    ranks = numbered_keys(twice, ["key"], parts)
-    suffixes = through_table(lines.join(ranks, "key").select("doc_id", "at", "line", "rank"), "suffixes")
+    ranks = numbered_keys(twice, ["key"], parts, space)
+    suffixes = space.table(lines.join(ranks, "key").select("doc_id", "at", "line", "rank"), "suffixes")
+    space.keep(lines, suffixes)
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
         behind = suffixes.select("doc_id", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        pairs = through_table(suffixes.join(behind, ["doc_id", "at"]), "pairs")
+        pairs = space.table(suffixes.join(behind, ["doc_id", "at"]), "pairs")
         twice = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rank").alias("first"), "next")
-        named = numbered_keys(twice, ["first", "next"], parts).withColumnRenamed("rank", "name")
+        named = numbered_keys(twice, ["first", "next"], parts, space).withColumnRenamed("rank", "name")
         renamed = pairs.withColumnRenamed("rank", "first").join(named, ["first", "next"])
-        suffixes = through_table(renamed.select("doc_id", "at", "line", F.col("name").alias("rank")), "suffixes")
+        suffixes = space.table(renamed.select("doc_id", "at", "line", F.col("name").alias("rank")), "suffixes")
+        space.keep(lines, suffixes)
         length += step
     return suffixes
 
@@ -76,12 +77,15 @@ def suffix_ranks(lines: DataFrame, min_lines: int) -> DataFrame:
 def removed_lines(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, gone): numbers of the lines that later copies of repeated runs hold."""
     # equal rows of one id are one document
-    lines = through_table(document_lines(docs, id_col, text_col).dropDuplicates(["doc_id", "at"]), "lines")
-    suffixes = suffix_ranks(lines, min_lines)
+    space = Workspace(docs.sparkSession)
+    lines = space.table(document_lines(docs, id_col, text_col).dropDuplicates(["doc_id", "at"]), "lines")
+    suffixes = suffix_ranks(lines, min_lines, space)
     first = suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     later = suffixes.join(first, "rank").filter(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
     covered = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at")).distinct() if min_lines > 1 else later
-    return covered.join(lines, ["doc_id", "at"]).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    gone = space.table(covered.join(lines, ["doc_id", "at"]).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
+    space.keep(gone)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import through_table
-from .common import arrow_pass, read_table, replace_column, ship_package, words_of
+from .common import Workspace, arrow_pass, read_table, replace_column, ship_package, words_of
 from .fm_index import FMIndex
 from .jaccard_join import hash_windows, hash_words
 
@@ -147,8 +146,9 @@ def earlier_windows(segments: DataFrame, window: int, shards: int) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """(doc_id, intervals): for ``docs`` (doc_id, text), the word intervals covered by windows that also start earlier."""
+    space = Workspace(docs.sparkSession)
     found = segment_table(docs, window, gram)
-    contents = through_table(
+    contents = space.table(
         found.groupBy("k1", "k2", "minimizer").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("run").alias("run")).groupBy("minimizer").agg(
             F.count("*").alias("contents"), F.max("n").alias("most")
         ).filter("contents > 1 or most > 1"),
@@ -156,12 +156,14 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     )
     # only segments of minimizers that occur twice go on
     side = F.broadcast(contents) if contents.count() <= BROADCAST_ROWS else contents
-    kept = through_table(found.join(side.select("minimizer", "contents"), "minimizer"), "segments")
-    firsts = through_table(kept.groupBy("k1", "k2", "minimizer", "contents").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("run").alias("run")), "firsts")
+    kept = space.table(found.join(side.select("minimizer", "contents"), "minimizer"), "segments")
+    space.keep(kept)  # the minimizers are part of it
+    firsts = space.table(kept.groupBy("k1", "k2", "minimizer", "contents").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("run").alias("run")), "firsts")
     later = kept.join(firsts.filter("n > 1").select("k1", "k2", "first"), ["k1", "k2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    later = later.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("run") + window - 1).alias("end"))
+    later = space.table(later.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("run") + window - 1).alias("end")), "later")
 
-    several = through_table(firsts.filter("contents > 1").select("minimizer", "contents", "first.doc_id", "first.pos", "run"), "several")
+    several = space.table(firsts.filter("contents > 1").select("minimizer", "contents", "first.doc_id", "first.pos", "run"), "several")
+    space.keep(later, several)
     per_doc = several.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "run", "minimizer", "contents")).alias("wanted"))
     ids = several.select("doc_id").distinct()
     texts = docs.select("doc_id", "text")
@@ -175,8 +177,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 end = w["pos"] + w["run"] + window - 1
                 yield w["minimizer"], w["contents"], doc, w["pos"], b" ".join(words[w["pos"] : end]).decode("utf-8", "surrogatepass")
 
-    cuts = through_table(arrow_pass(texts.join(per_doc, "doc_id").select("doc_id", "text", "wanted"), cut, "minimizer long, contents long, doc_id long, pos int, words string").dropDuplicates(["minimizer", "doc_id", "pos"]), "cuts")
+    cuts = space.table(arrow_pass(texts.join(per_doc, "doc_id").select("doc_id", "text", "wanted"), cut, "minimizer long, contents long, doc_id long, pos int, words string").dropDuplicates(["minimizer", "doc_id", "pos"]), "cuts")
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-several.count() // shard_segments))
+    space.keep(later, cuts)
     reported = earlier_windows(cuts.filter(F.col("contents") <= hot), window, shards)
 
     def single(docs_, places, texts_):
@@ -189,7 +192,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     hot_hits = windows.join(first, "key").filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
     every = later.unionByName(reported).unionByName(hot_hits)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("intervals"))
+    intervals = space.table(every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("intervals")), "intervals")
+    space.keep(intervals)
+    return intervals
 
 
 def kept_words(words: list[bytes], intervals) -> list[bytes]:
