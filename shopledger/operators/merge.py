@@ -1,6 +1,7 @@
 """Merges of new dimension rows into stored dimensions, and key remapping of facts.
 
-Each merge is a function of two tables to the new table; ``sinks.rewrite_table`` stores the result.
+Each merge is a function of two tables to the new table. Of insert-only merges, ``sinks.append_rows`` stores the ``unseen_*``
+rows alone; ``sinks.rewrite_table`` stores the result of the others.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import CATALOG_KEY, CATALOG_NAMES, MERGE_KEYS
 from ..functions.dates import key_date
 from ..functions.text import as_col
+from ..session import through_table
 from .dimensions import calendar_columns, product_code
 from .keys import assign_keys, keep_first
 
@@ -25,22 +27,34 @@ def _number_new(new: DataFrame, business_key: str, surrogate_key: str, current:
     return assign_keys(new, business_key, surrogate_key, after=_max_key(current, surrogate_key))
 
 
-def upsert_dimension(
+def unseen_rows(
     current: DataFrame,
     incoming: DataFrame,
     business_key: str,
     surrogate_key: str,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Insert-only merge: stored rows stay as they are, unseen business keys are added with the next keys.
+    """The incoming rows whose business key is not stored, one per key, numbered after the largest stored key.
 
-    Incoming rows with a null business key are dropped; of several with the same key the first by ``order_by`` counts.
+    Incoming rows with a null business key are dropped; of several with the same key the first by ``order_by`` counts. The
+    rows are written once before they are numbered, so that the join and the choice do not run twice.
     """
     known = current.filter(F.col("is_current")) if "is_current" in current.columns else current
     unseen = incoming.filter(as_col(business_key).isNotNull()).join(known.select(business_key), business_key, "left_anti")
     new = keep_first(unseen.select(*incoming.columns).drop(surrogate_key), [business_key], list(order_by))
-    numbered = _number_new(new, business_key, surrogate_key, current)
-    return current.unionByName(numbered, allowMissingColumns=True)
+    return _number_new(through_table(new, "unseen"), business_key, surrogate_key, current)
+
+
+def upsert_dimension(
+    current: DataFrame,
+    incoming: DataFrame,
+    business_key: str,
+    surrogate_key: str,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """Insert-only merge: stored rows stay as they are, ``unseen_rows`` are added."""
+    new = unseen_rows(current, incoming, business_key, surrogate_key, order_by)
+    return current.unionByName(new, allowMissingColumns=True)
 
 
 def key_mapping(incoming: DataFrame, merged: DataFrame, business_key: str, surrogate_key: str) -> DataFrame:
@@ -77,10 +91,14 @@ def merge_star(stored: dict[str, DataFrame], built: dict[str, DataFrame]) -> dic
     return out
 
 
+def unseen_days(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Calendar rows whose key is not stored."""
+    return incoming.join(current.select("time_key"), "time_key", "left_anti").select(*incoming.columns)
+
+
 def upsert_dim_time(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add calendar rows whose key is not stored yet."""
-    new = incoming.join(current.select("time_key"), "time_key", "left_anti").select(*incoming.columns)
-    return current.unionByName(new, allowMissingColumns=True)
+    return current.unionByName(unseen_days(current, incoming), allowMissingColumns=True)
 
 
 def ensure_dates(current: DataFrame, bank: DataFrame, column: str = "transaction_date_key") -> DataFrame:
@@ -154,9 +172,14 @@ def _unseen_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return _number_new(new, "__key", "product_catalog_key", current).drop("__key")
 
 
+def unseen_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Numbered catalog rows whose natural key is not stored."""
+    return _unseen_catalog(current, _catalog_rows(incoming))
+
+
 def insert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add catalog rows with unseen natural keys; stored rows stay as they are."""
-    return current.unionByName(_unseen_catalog(current, _catalog_rows(incoming)), allowMissingColumns=True)
+    return current.unionByName(unseen_catalog(current, incoming), allowMissingColumns=True)
 
 
 def insert_catalog_counts(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..constants import FACT_KEYS
 from ..operators.cleaners import clean_all
-from ..operators.merge import insert_catalog, upsert_dim_time, upsert_dimension
+from ..operators.merge import unseen_catalog, unseen_days, unseen_rows
 from ..constants import MERGE_KEYS
 from ..session import through_table
 from ..sources.files import load_period
-from ..sources.sinks import rewrite_months, rewrite_table, write_fact_period, write_table
+from ..sources.sinks import append_rows, rewrite_months, write_fact_period, write_table
 from ..sources.validate import validate_columns
 from .star import build_dimensions, build_facts
 
@@ -24,16 +24,14 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def merge_dimension(stored: DataFrame | None, table: str, built: DataFrame) -> DataFrame:
-    """The dimension as it should be stored after this load."""
-    if stored is None:
-        return built
+def new_dimension_rows(stored: DataFrame, table: str, built: DataFrame) -> DataFrame:
+    """The rows that this load adds to a stored dimension, which may be empty: first and later loads go one way."""
     if table == "dim_time":
-        return upsert_dim_time(stored, built)
+        return unseen_days(stored, built)
     if table == "dim_product_catalog":
-        return insert_catalog(stored, built)
+        return unseen_catalog(stored, built)
     business_key, surrogate_key, _ = MERGE_KEYS[table]
-    return upsert_dimension(stored, built, business_key, surrogate_key)
+    return unseen_rows(stored, built, business_key, surrogate_key)
 
 
 def clear_bank_month(spark: SparkSession, path: str, period: str) -> None:
@@ -56,9 +54,9 @@ def run_period(spark: SparkSession, raw_root: str, period: str, warehouse: str)
     paths, dims = {}, {}
     for table, built in build_dimensions(spark, cleaned).items():
         path = paths[table] = f"{warehouse.rstrip('/')}/{table}"
-        stored = read_stored(spark, path)
-        merged = merge_dimension(stored, table, built)
-        write_table(merged, path) if stored is None else rewrite_table(merged, path)
+        if read_stored(spark, path) is None:
+            write_table(spark.createDataFrame([], built.schema), path)
+        append_rows(new_dimension_rows(spark.read.parquet(path), table, built), path)
         dims[table] = spark.read.parquet(path)
     for table, fact in build_facts(cleaned, dims, batch_id=f"period_{period}").items():
         path = paths[table] = f"{warehouse.rstrip('/')}/{table}"
