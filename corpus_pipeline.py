@@ -18,6 +18,8 @@ from shopledger.session import through_table
 
 #: Near duplicates: five-word shingles, a similarity of 0.8 or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Repeated line runs of any length, so a line that recurs between differing neighbours goes too.
+LEAST_LINES = 1
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are deleted from the texts."""
-    return dedup_lines(docs)
+    """Later copies of repeated lines and line runs, from one line up, are deleted from the texts."""
+    return dedup_lines(docs, min_lines=LEAST_LINES)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

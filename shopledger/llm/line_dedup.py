@@ -8,7 +8,8 @@ on: others can begin no repeated run.
 Ordered by final rank, suffixes with a common prefix of at least ``min_lines`` lines are neighbours: equal ranks are the
 intervals of the longest-common-prefix array at that threshold. The first suffix of an interval (smallest id, then line) is
 the copy that stays; the ``min_lines`` lines behind each later suffix are deleted. Overlapping and adjacent windows merge into
-the maximal repeated runs.
+the maximal repeated runs. The order of suffixes is exact to ``min_lines`` lines only: which lines lie in a repeated run of
+that length or more depends on nothing further. With ``min_lines`` 1 the ranks by the first line are the last ones.
 
 Ranks are numbered over the distinct keys of a step, in range partitions and shifted by the partitions before: no key of the
 data decides how many rows a task gets, and a line that a third of all rows share is one key there. Only built-in functions.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACE_PATTERN, Workspace, read_table, replace_column
 
+#: The least run of the query, as in its SQL twin: a line that recurs alone, between differing neighbours, stays. The pipeline
+#: asks for runs from one line up.
 MIN_LINES = 2
 
 

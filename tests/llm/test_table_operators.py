@@ -184,3 +184,12 @@ def test_smallest_capacity(spark, seed):
     assert capacity == brute_capacity(sizes, 12)
     cuts = [0, *ends]
     assert ends[-1] == upto[-1] and set(ends) <= set(upto) and all(0 <= b - a <= capacity for a, b in itertools.pairwise(cuts))
+
+
+def test_pipeline_deletes_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b\nfooter\nc d"), (2, "e f\nfooter\ng h"), (3, "one line"), (4, "one line"), (5, "footer\n\ni j\nfooter")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {1: "a b\nfooter\nc d", 2: "e f\ng h", 3: "one line", 4: "", 5: "\ni j"}
