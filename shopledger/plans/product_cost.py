@@ -6,6 +6,8 @@ eight decimals, half up, so sums do not depend on the order of rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from ..operators.keys import keep_first
 
 CENTS = "decimal(20,2)"
 SHARE = "decimal(28,8)"
-# wide enough for an order or product total, and narrow enough to leave scale in products and quotients
-_PART = "decimal(14,2)"
-# order ids listed in one text; longer lists are split into parts of about this size
+RATIO = "decimal(28,8)"
+PERCENT = "decimal(28,4)"
+_WHOLE = "decimal(38,0)"
+# order ids collected at once; longer lists are sorted in parts of about this size
 ORDER_IDS_PER_PART = 10_000
 
 
@@ -27,6 +30,30 @@ def _zero(kind: str) -> Column:
     return F.lit(0).cast(kind)
 
 
+def _units(amount: Column, digits: int) -> Column:
+    """An amount of at most ``digits`` decimals as a whole number of its smallest units."""
+    return (amount * F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast(_WHOLE)
+
+
+def _scaled(units: Column, digits: int) -> Column:
+    # 29 + 8 + 1 digits: Spark would take scale away from a wider product
+    return units.cast("decimal(29,0)") * F.lit(Decimal(1).scaleb(-digits)).cast(f"decimal({digits},{digits})")
+
+
+def _rounded_quotient(top: Column, bottom: Column, digits: int = 0) -> Column:
+    """top x 10^digits / bottom of whole numbers, rounded half away from zero; null where the divisor is 0.
+
+    Whole quotient and remainder are taken apart, so that nothing is lost to Spark's scale of a decimal quotient: exact as
+    long as ``top`` fits 38 digits. An overflow is an error under ANSI, as for any sum.
+    """
+    size, by = F.abs(top), F.nullif(F.abs(bottom), F.lit(0).cast(_WHOLE))
+    left = size % by
+    doubled, twice = left * F.lit(2 * 10**digits) + by, by * 2
+    digits_behind = ((doubled - doubled % twice) / twice).cast(_WHOLE)
+    total = ((size - left) / by).cast(_WHOLE) * F.lit(10**digits) + digits_behind
+    return F.when((top < 0) != (bottom < 0), -total).otherwise(total)
+
+
 def product_order_sales(sales: DataFrame, product: str | None = None) -> DataFrame:
     """(order_id, product_id, sales, unit): the one aggregate of the fact that all reports here start from."""
     rows = sales.filter(F.col("sku").isNotNull())
@@ -37,24 +64,31 @@ def product_order_sales(sales: DataFrame, product: str | None = None) -> DataFra
     )
 
 
+def _order_id_parts(pos: DataFrame, per_part: int) -> DataFrame:
+    """(product_id, parts, part, ids): distinct order ids of each product as ascending arrays, cut by a hash of the id."""
+    ids = pos.select("product_id", "order_id").filter(F.col("order_id").isNotNull())
+    parts = ids.groupBy("product_id").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+    cut = ids.join(parts, "product_id")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("order_id"), "parts").cast("int"))
+    return cut.groupBy("product_id", "parts", "part").agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
+
+
+def _id_text(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ", ")
+
+
 def sku_order_ids(pos: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFrame:
     """(product_id, parts, part, order_ids): distinct order ids of each product, comma-joined in ascending order.
 
     A product with many orders gets several parts, cut by a hash of the order id: every id is listed once, and no text or
     task grows with the size of a product.
     """
-    ids = pos.select("product_id", "order_id").filter(F.col("order_id").isNotNull())
-    parts = ids.groupBy("product_id").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
-    cut = ids.join(parts, "product_id")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("order_id"), "parts").cast("int"))
-    listed = cut.groupBy("product_id", "parts", "part").agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
-    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), ", ")
-    return listed.select("product_id", "parts", "part", text.alias("order_ids"))
+    return _order_id_parts(pos, per_part).select("product_id", "parts", "part", _id_text(F.col("ids")).alias("order_ids"))
 
 
 def sales_by_sku(sales: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFrame:
-    """Sales, units and order ids per product. With more than ``per_part`` orders a product has a row per part of its ids,
-    each with the product's totals; no id is left out."""
+    """One row per product: sales, units and all its order ids in one text, ascending. ``per_part`` only says how many ids
+    are collected at once; the result does not depend on it."""
     pos = product_order_sales(sales)
     totals = pos.groupBy("product_id").agg(
         F.sum("sales").cast(CENTS).alias("sales"),
@@ -65,7 +99,9 @@ def sales_by_sku(sales: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFr
 
 
 def _with_order_ids(totals: DataFrame, pos: DataFrame, per_part: int) -> DataFrame:
-    listed = sku_order_ids(pos, per_part).select("product_id", "order_ids")
+    # parts first, so that a hot product reaches its one row as a few sorted arrays
+    parts = _order_id_parts(pos, per_part).groupBy("product_id").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    listed = parts.select("product_id", _id_text(F.sort_array("ids")).alias("order_ids"))
     joined = totals.join(listed, "product_id", "left")
     empty = F.when(F.coalesce("order_count", F.lit(0)) == 0, F.lit(""))
     return joined.withColumn("order_ids", F.coalesce("order_ids", empty))
@@ -98,8 +134,8 @@ def with_order_totals(pos: DataFrame) -> DataFrame:
 def order_ratio(sales: DataFrame) -> DataFrame:
     """(order_id, product_id, sales, order_sales, ratio): the share of each product in its order; 0 if nothing was sold."""
     joined = with_order_totals(product_order_sales(sales))
-    share = F.round(F.col("sales").cast(_PART) / F.nullif(F.col("order_sales").cast(_PART), _zero(_PART)), 8)
-    ratio = F.when(F.col("order_sales") > 0, share).otherwise(F.lit(0)).cast("decimal(18,8)")
+    share = _scaled(_rounded_quotient(_units(F.col("sales"), 2), _units(F.col("order_sales"), 2), 8), 8)
+    ratio = F.when(F.col("order_sales") > 0, share).otherwise(F.lit(0)).cast(RATIO)
     return joined.select("order_id", "product_id", "sales", "order_sales", ratio.alias("ratio"))
 
 
@@ -128,8 +164,10 @@ def order_charges(financial: DataFrame) -> DataFrame:
 
 def share_of(amount: Column, part: Column, whole: Column) -> Column:
     """amount x part / whole, 0 where the whole is not positive."""
-    exact = F.coalesce(amount, _zero(CENTS)).cast(_PART) * part.cast(_PART) / F.nullif(whole.cast(_PART), _zero(_PART))
-    return F.when(whole > 0, F.round(exact, 8)).otherwise(F.lit(0)).cast(SHARE)
+    # cents x cents / cents, to 10^-8: six digits beyond cents
+    product = (_units(F.coalesce(amount, _zero(CENTS)), 2) * _units(part, 2)).cast(_WHOLE)
+    exact = _scaled(_rounded_quotient(product, _units(whole, 2), 6), 8)
+    return F.when(whole > 0, exact).otherwise(F.lit(0)).cast(SHARE)
 
 
 def _with_charges(pos: DataFrame, charges: DataFrame, ratio_scope: str) -> DataFrame:
@@ -200,8 +238,9 @@ def _profit() -> Column:
 
 def _margin(profit: Column) -> Column:
     """Profit in percent of the sales, 0 without sales."""
-    percent = F.round(profit.cast("decimal(24,8)") * 100 / F.nullif(F.col("sales").cast(_PART), _zero(_PART)), 4)
-    return F.when(F.col("sales") != 0, percent).otherwise(F.lit(0)).cast("decimal(24,4)")
+    # 10^-8 units over cents are 10^-4 of a percent
+    percent = _scaled(_rounded_quotient(_units(profit, 8), _units(F.col("sales"), 2)), 4)
+    return F.when(F.col("sales") != 0, percent).otherwise(F.lit(0)).cast(PERCENT)
 
 
 def product_profitability(
@@ -308,18 +347,18 @@ def margin_breakdown(
         rows = rows.filter(F.col("product_id") == product)
     goods = cogs_by_product_variant(bank, product).groupBy("product_id").agg(F.sum("cogs").cast(CENTS).alias("goods"))
     whole = F.col("order_sales") if ratio_scope == "order" else F.col("sales")
-    percent = F.round(F.col("sales").cast(_PART) * 100 / F.nullif(whole.cast(_PART), _zero(_PART)), 4)
+    percent = _scaled(_rounded_quotient(_units(F.col("sales"), 2), _units(whole, 2), 6), 4)
     out = rows.join(goods, "product_id", "left").select(
         "product_id",
         F.col("order_id").cast("string").alias("order_id"),
         "sales",
-        F.when(whole > 0, percent).otherwise(F.lit(0)).cast("decimal(12,4)").alias("sales_percent"),
+        F.when(whole > 0, percent).otherwise(F.lit(0)).cast(PERCENT).alias("sales_percent"),
         "refund",
         F.coalesce(F.col("goods") * F.col("unit"), F.lit(0)).cast(CENTS).alias("cogs"),
         "platform_fee",
     )
     out = out.withColumn("profit", _profit())
-    margin = F.when(F.col("sales") > 0, _margin(F.col("profit"))).otherwise(F.lit(0).cast("decimal(24,4)"))
+    margin = F.when(F.col("sales") > 0, _margin(F.col("profit"))).otherwise(F.lit(0).cast(PERCENT))
     return out.withColumn("margin_percent", margin)
 
 

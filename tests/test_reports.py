@@ -242,3 +242,54 @@ def test_bank_reports(spark, bank, accounts, dim_time):
     assert [r.bank_transaction_key for r in full] == [2, 4, 1, 3] and full[0].product_name == "hat"
     assert [r.value for r in B.distinct_values(accounts, "currency_code").collect()] == ["USD", "VND"]
     assert B.filter_any_column(accounts, "MAIN").count() == 1 and B.filter_accounts(accounts, "n", "VND").count() == 1
+
+
+def test_a_large_product_stays_one_row_with_all_order_ids(spark, fin, bank):
+    sales = spark.range(1000).select(F.col("id").alias("order_id"), F.lit("A").alias("sku"), F.lit(1).cast("decimal(15,2)").alias("item_price"))
+    catalog = spark.createDataFrame(
+        [(1, "L", "A", "01", "red hat", "One"), (2, "L", "A", "02", "red hat", "Two"), (3, "K", "C", "01", "new", "One")],
+        "product_catalog_key long, product_line_id string, product_id string, variant_id string, product_name string, variant_name string",
+    )
+    every = ", ".join(str(i) for i in range(1000))
+    assert [(r.product_id, r.sales, r.order_ids) for r in P.sales_by_sku(sales, per_part=100).collect()] == [("A", Decimal("1000.00"), every)]
+    report = P.product_profitability(sales, fin, bank, catalog, per_part=100)
+    assert [(r.product_id, r.variant_name, r.order_ids) for r in report.collect()] == [("C", "One", ""), ("A", "One", every), ("A", "Two", every)]
+    assert [(r.variant_name, r.order_ids) for r in P.product_list(report, "red").collect()] == [("One", every)]
+
+
+def test_totals_beyond_ten_to_the_twelfth(spark, bank):
+    big = Decimal("9000000000000.01")
+    rows = [(1, "A", big)] * 3 + [(1, "B", Decimal("0.02")), (1, "B", Decimal("9000000000000.00")), (2, "A", Decimal("-5.00")), (2, "B", Decimal("12.00"))]
+    sales = spark.createDataFrame(rows, "order_id long, sku string, item_price decimal(15,2)")
+    kind = "transaction_type string, transaction_title string, order_id long, amount decimal(15,2), fees_and_taxes decimal(15,2)"
+    fin = spark.createDataFrame([("Refund", "r", 1, -big, None), ("Refund", "r", 1, -big, None), ("Fee", "Transaction fee", 1, None, -big), ("Refund", "r", 2, Decimal("-1.00"), None)], kind)
+    catalog = spark.createDataFrame([(1, "L", "A", "01", "red", "One"), (2, "L", "B", "02", "red", "One")], "product_catalog_key long, product_line_id string, product_id string, variant_id string, product_name string, variant_name string")
+
+    def half_up(top, bottom, digits):
+        n, d = (top * 10**digits).as_integer_ratio(), bottom.as_integer_ratio()
+        num, den = n[0] * d[1], n[1] * d[0]
+        size = (2 * abs(num) + den) // (2 * den)
+        return Decimal(size if num >= 0 else -size).scaleb(-digits)
+
+    own = {(1, "A"): Decimal("27000000000000.03"), (1, "B"): Decimal("9000000000000.02"), (2, "A"): Decimal("-5.00"), (2, "B"): Decimal("12.00")}
+    whole = {1: Decimal("36000000000000.05"), 2: Decimal("7.00")}
+    refund, fee = {1: 2 * big, 2: Decimal("1.00")}, {1: big, 2: Decimal("0.00")}
+    got = {(r.order_id, r.product_id): r for r in P.order_ratio(sales).collect()}
+    assert {k: r.ratio for k, r in got.items()} == {k: half_up(v, whole[k[0]], 8) for k, v in own.items()}
+
+    from fractions import Fraction
+
+    part = {k: half_up(Fraction(refund[k[0]]) * Fraction(v), Fraction(whole[k[0]]), 8) for k, v in own.items()}
+    charge = {k: half_up(Fraction(fee[k[0]]) * Fraction(v), Fraction(whole[k[0]]), 8) for k, v in own.items()}
+    for r in P.product_profitability(sales, fin, bank.limit(0), catalog).collect():
+        assert r.refund == part[(1, r.product_id)] + part[(2, r.product_id)]
+        assert r.platform_fee == charge[(1, r.product_id)] + charge[(2, r.product_id)]
+        assert r.profit == r.sales - r.refund - r.platform_fee and r.sales > 10**12 / 2
+    variants = P.variant_profitability(sales, fin, bank.limit(0), catalog, ratio_scope="order")
+    for r in [*variants.collect(), *P.product_totals(variants).collect()]:
+        assert r.margin == half_up(Fraction(r.profit) * 100, Fraction(r.sales), 4)
+    for r in P.margin_breakdown(sales, fin, bank.limit(0), ratio_scope="order").collect():
+        key = (int(r.order_id), r.product_id)
+        assert r.sales_percent == half_up(Fraction(own[key]) * 100, Fraction(whole[key[0]]), 4)
+    fees = {r.product_id: r.amount for r in P.fee_breakdown(sales, fin, ratio_scope="order").collect()}
+    assert fees == {p: charge[(1, p)] for p in "AB"}
