@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, line_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, vector_search, warc
+from . import (
+    byte_bpe,
+    jaccard_join,
+    line_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    vector_search,
+    warc,
+)
 
-MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup)
+MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup, simhash)
 
 
 def queries() -> dict:
