@@ -6,6 +6,7 @@ from . import (
     byte_bpe,
     jaccard_join,
     line_dedup,
+    merkle,
     packing,
     quality_rules,
     sharding,
@@ -16,7 +17,7 @@ from . import (
     warc,
 )
 
-MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup, simhash)
+MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup, merkle, simhash)
 
 
 def queries() -> dict:
