@@ -80,10 +80,10 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` once as Parquet and read it back."""
         path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((stored, path))
         return stored

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    alignment,
     byte_bpe,
     jaccard_join,
     line_dedup,
@@ -17,7 +18,7 @@ from . import (
     warc,
 )
 
-MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup, merkle, simhash)
+MODULES = (token_counts, jaccard_join, vector_search, quality_rules, packing, warc, sharding, substring_dedup, byte_bpe, line_dedup, alignment, merkle, simhash)
 
 
 def queries() -> dict:
