@@ -1,26 +1,28 @@
 """Line dedup: repeated runs of lines found by a suffix array over line ids, built by distributed prefix doubling.
 
 A document is the sequence of its lines that hold a word. A suffix starts at each line. Ranks of suffixes by their first line
-come first; then ranks by 2, 4, ... lines, each from the pair (rank here, rank half a prefix further on), until the prefix has
-``min_lines`` lines (the last step overlaps, so that any number is reached). Only suffixes whose prefix still occurs twice go
-on: others can begin no repeated run.
+come first; then ranks by 2, 4, ... lines, each from the pair (rank here, rank half a prefix further on), until no prefix
+occurs twice. On the way one length is ``min_lines`` itself (the step to it overlaps, so that any number is reached), and the
+doubling goes on from there. Only suffixes whose prefix still occurs twice go on: others can begin no longer repeated run.
 
-Ordered by final rank, suffixes with a common prefix of at least ``min_lines`` lines are neighbours: equal ranks are the
-intervals of the longest-common-prefix array at that threshold. The first suffix of an interval (smallest id, then line) is
-the copy that stays; the ``min_lines`` lines behind each later suffix are deleted. Overlapping and adjacent windows merge into
-the maximal repeated runs. The order of suffixes is exact to ``min_lines`` lines only: which lines lie in a repeated run of
-that length or more depends on nothing further. With ``min_lines`` 1 the ranks by the first line are the last ones.
+Ordered by rank, suffixes with a common prefix are neighbours: the suffixes of one rank at one length are an interval of the
+longest-common-prefix array at that threshold. The first suffix of an interval (smallest id, then line) is the copy that stays;
+every other one starts a later copy of at least that many lines. From ``min_lines`` on these windows are kept, and overlapping
+and adjacent ones are merged into the maximal repeated runs of a document.
 
 Ranks are numbered over the distinct keys of a step, in range partitions and shifted by the partitions before: no key of the
-data decides how many rows a task gets, and a line that a third of all rows share is one key there. Only built-in functions.
+data decides how many rows a task gets. An interval's first suffix and whether it has a second come from an aggregate that is
+reduced before the shuffle, so a line that a third of all rows share is one key there. Only built-in functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE_PATTERN, Workspace, read_table, replace_column
+from .common import WORD_SPACE, Workspace, read_table
 
 #: The least run of the query, as in its SQL twin: a line that recurs alone, between differing neighbours, stays. The pipeline
 #: asks for runs from one line up.
@@ -40,55 +42,76 @@ def numbered_keys(keys: DataFrame, columns: list[str], parts: int, space: Worksp
     return ranged.join(shift, "part").withColumn("rank", F.col("before") + number - 1).drop("part", "before")
 
 
+def _has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(WORD_SPACE)) != ""
+
+
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line, at, key): lines with a word; ``at`` counts these, ``line`` all lines, from 0. ``key`` names the line."""
+    """(doc_id, at, key): lines with a word, counted by ``at`` from 0; 16 bytes name a line."""
     lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"),
-        F.filter(
-            F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("value"))),
-            lambda s: F.length(F.regexp_replace(s["value"], WORD_SPACE_PATTERN, "")) > 0,
-        ).alias("lines"),
+        F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.split(F.col(text_col), "\n", -1), _has_word)).alias("at", "value")
     )
-    each = lines.select("doc_id", F.posexplode("lines").alias("at", "found"))
-    return each.select("doc_id", F.col("found.line").alias("line"), "at", F.sha2("found.value", 256).alias("key"))
+    return lines.select("doc_id", "at", F.unhex(F.md5("value")).alias("key"))
+
 
+def _intervals(suffixes: DataFrame, columns: list[str], parts: int, space: Workspace) -> DataFrame:
+    """Keys that begin two suffixes or more, with their rank and the first of these suffixes. Equal (id, line) is one suffix."""
+    place = F.struct("doc_id", "at")
+    found = suffixes.groupBy(*columns).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    return numbered_keys(found.drop("last"), columns, parts, space)
 
-def suffix_ranks(lines: DataFrame, min_lines: int, space: Workspace) -> DataFrame:
-    """(doc_id, at, line, rank): suffixes whose first ``min_lines`` lines occur at least twice, with the rank of that prefix.
 
-    ``lines`` (doc_id, at, line, key) is a stored table, with one row per suffix.
+def later_windows(lines: DataFrame, min_lines: int, space: Workspace) -> DataFrame:
+    """(doc_id, at, length): suffixes whose first ``length`` lines also start earlier, for every length of the doubling.
+
+    ``lines`` (doc_id, at, key) is a stored table.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    twice = lines.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    ranks = numbered_keys(twice, ["key"], parts, space)
-    suffixes = space.table(lines.join(ranks, "key").select("doc_id", "at", "line", "rank"), "suffixes")
-    space.keep(lines, suffixes)
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        behind = suffixes.select("doc_id", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        pairs = space.table(suffixes.join(behind, ["doc_id", "at"]), "pairs")
-        twice = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rank").alias("first"), "next")
-        named = numbered_keys(twice, ["first", "next"], parts, space).withColumnRenamed("rank", "name")
-        renamed = pairs.withColumnRenamed("rank", "first").join(named, ["first", "next"])
-        suffixes = space.table(renamed.select("doc_id", "at", "line", F.col("name").alias("rank")), "suffixes")
-        space.keep(lines, suffixes)
+    ranked = lines.join(_intervals(lines, ["key"], parts, space), "key")
+    length, found = 1, []
+    while True:
+        place = F.struct("doc_id", "at")
+        suffixes = space.table(ranked.select("doc_id", "at", "rank", (place > F.col("first")).alias("later")).dropDuplicates(["doc_id", "at"]), "suffixes")
+        if suffixes.isEmpty():
+            break
+        if length >= min_lines:
+            found.append((suffixes, length))
+        space.keep(lines, *[t for t, _ in found], suffixes)
+        step = length if length >= min_lines else min(length, min_lines - length)
+        # the rank ``step`` lines further on, where that suffix is still there: its document is one group, sorted by line
+        ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(step, step)
+        pairs = suffixes.select("doc_id", "at", F.col("rank").alias("here"), F.max("rank").over(ahead).alias("next")).filter("next is not null")
+        pairs = space.table(pairs, "pairs")
+        ranked = pairs.join(_intervals(pairs, ["here", "next"], parts, space), ["here", "next"])
         length += step
-    return suffixes
+    windows = [t.filter("later").select("doc_id", "at", F.lit(n).alias("length")) for t, n in found]
+    return reduce(DataFrame.union, windows) if windows else suffixes.select("doc_id", "at", F.lit(1).alias("length"))
+
 
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, runs): the maximal runs of lines that also start earlier, as array<struct<start, end>>, end excluded.
 
-def removed_lines(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, gone): numbers of the lines that later copies of repeated runs hold."""
-    # equal rows of one id are one document
+    Runs count lines with a word only, from 0; documents without a run are left out. Stored.
+    """
     space = Workspace(docs.sparkSession)
-    lines = space.table(document_lines(docs, id_col, text_col).dropDuplicates(["doc_id", "at"]), "lines")
-    suffixes = suffix_ranks(lines, min_lines, space)
-    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = suffixes.join(first, "rank").filter(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
-    covered = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at")).distinct() if min_lines > 1 else later
-    gone = space.table(covered.join(lines, ["doc_id", "at"]).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
-    space.keep(gone)
-    return gone
+    lines = space.table(document_lines(docs, id_col, text_col), "lines")
+    windows = later_windows(lines, min_lines, space).withColumn("end", F.col("at") + F.col("length"))
+    before = Window.partitionBy("doc_id").orderBy("at", F.desc("end"))
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opened = windows.withColumn("opens", F.when(reach >= F.col("at"), 0).otherwise(1))
+    numbered = opened.withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = numbered.groupBy("doc_id", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    runs = space.table(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    space.keep(runs)
+    return runs
+
+
+def _lines_left(text: Column, runs: Column) -> Column:
+    """The lines of a text that lie in none of the runs. Lines without a word are in no run."""
+    lines = F.split(text, "\n", -1)
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _has_word(F.get(lines, i)))
+    gone = F.flatten(F.transform(runs, lambda r: F.slice(worded, r["start"] + 1, r["end"] - r["start"])))
+    return F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -97,25 +120,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier: in a smaller id, or in the same document further up. Runs count lines with a word only; lines without one stay
     and do not break a run. Texts that lose nothing stay byte for byte; null texts and rows with a null id stay. Rows that
     repeat an id are one document and lose the same lines (with differing texts under one id, which lines count is not
-    defined). A document may become empty; it keeps its row. All columns stay, whatever they are called.
+    defined). A document may become empty; it keeps its row. All columns stay, whatever they are called: rows travel as one
+    struct, once.
     """
-    gone = removed_lines(docs, min_lines, id_col, text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(gone, "doc_id")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    changed = texts.select(F.col("doc_id").alias(id_col), F.array_join(kept, "\n").alias("kept")).dropDuplicates([id_col])
-    return replace_column(docs, id_col, text_col, changed, "kept")
+    runs = repeated_runs(docs, min_lines, id_col, text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # one way at all sizes: the runs grow with the documents, so they are never sent to all tasks
+    found = packed.join(runs.hint("merge"), F.col("row").getField(id_col) == F.col("doc_id"), "left")
+    text = F.col("row").getField(text_col)
+    left = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(_lines_left(text, F.col("runs")), "\n"))
+    return found.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines deleted, and the digest of the kept text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removed_lines(docs, MIN_LINES)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    found = docs.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    return found.select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256")
-    )
+    runs = repeated_runs(docs, MIN_LINES)
+    text = F.coalesce("text", F.lit(""))
+    found = docs.join(runs.hint("merge"), "doc_id", "left").select("doc_id", text.alias("text"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), "runs")
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(_lines_left(F.col("text"), F.col("runs")), "\n"))
+    return found.select("doc_id", "n_lines", F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
