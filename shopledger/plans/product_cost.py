@@ -7,6 +7,7 @@ eight decimals, half up, so sums do not depend on the order of rows.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +41,45 @@ def _scaled(units: Column, digits: int) -> Column:
     return units.cast("decimal(29,0)") * F.lit(Decimal(1).scaleb(-digits)).cast(f"decimal({digits},{digits})")
 
 
-def _rounded_quotient(top: Column, bottom: Column, digits: int = 0) -> Column:
-    """top x 10^digits / bottom of whole numbers, rounded half away from zero; null where the divisor is 0.
+def _whole_quotient(top: Column, bottom: Column, digits: int) -> Column:
+    """top x 10^digits / bottom of whole numbers of one type, rounded half away from zero; null where the divisor is 0.
 
-    Whole quotient and remainder are taken apart, so that nothing is lost to Spark's scale of a decimal quotient: exact as
-    long as ``top`` fits 38 digits. An overflow is an error under ANSI, as for any sum.
+    Whole quotient and remainder are taken apart, so that nothing is lost to Spark's scale of a decimal quotient.
     """
-    size, by = F.abs(top), F.nullif(F.abs(bottom), F.lit(0).cast(_WHOLE))
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    size, by = F.abs(top), F.nullif(F.abs(bottom), F.lit(0))
     left = size % by
-    doubled, twice = left * F.lit(2 * 10**digits) + by, by * 2
-    digits_behind = ((doubled - doubled % twice) / twice).cast(_WHOLE)
-    total = ((size - left) / by).cast(_WHOLE) * F.lit(10**digits) + digits_behind
+    total = div(size, by) * F.lit(10**digits) + div(left * F.lit(2 * 10**digits) + by, by * F.lit(2))
     return F.when((top < 0) != (bottom < 0), -total).otherwise(total)
 
 
+def _quotient(factors: list[tuple[Column, int]], bottom: tuple[Column, int], digits: int, places: int) -> Column:
+    """Product of amounts / an amount, exact and rounded half away from zero; null where the divisor is 0.
+
+    Amounts come with their decimals; ``digits`` are added to the quotient of their smallest units, and the result has
+    ``places`` decimals. Rows whose units are exact as doubles and whose steps fit 64 bits are computed in them, which takes
+    a tenth of the time of wide decimals; the others are exact as long as the product fits 38 digits. An overflow beyond
+    that is an error under ANSI, as for any sum.
+    """
+    amounts = [*factors, bottom]
+    sizes = [F.abs(c.cast("double")) * float(10**d) for c, d in amounts]
+    product = reduce(lambda x, y: x * y, sizes[:-1])
+    small = reduce(lambda x, y: x & y, [n < 1e15 for n in sizes]) & (product < 4e18) & (sizes[-1] * float(2 * 10**digits) < 4e18) & (product / sizes[-1] * float(10**digits) < 4e18)
+    short = [F.rint(c.cast("double") * float(10**d)).cast("bigint") for c, d in amounts]
+    wide = [_units(c, d) for c, d in amounts]
+    quick = _whole_quotient(reduce(lambda x, y: x * y, short[:-1]), short[-1], digits)
+    top = reduce(lambda x, y: (x * y).cast(_WHOLE), wide[:-1])
+    size, by = F.abs(top), F.nullif(F.abs(wide[-1]), F.lit(0).cast(_WHOLE))
+    left = size % by
+    doubled, twice = left * F.lit(2 * 10**digits) + by, by * 2
+    total = ((size - left) / by).cast(_WHOLE) * F.lit(10**digits) + ((doubled - doubled % twice) / twice).cast(_WHOLE)
+    exact = F.when((top < 0) != (wide[-1] < 0), -total).otherwise(total)
+    return _scaled(F.when(small, quick.cast(_WHOLE)).otherwise(exact.cast(_WHOLE)), places)
+
+
 def product_order_sales(sales: DataFrame, product: str | None = None) -> DataFrame:
     """(order_id, product_id, sales, unit): the one aggregate of the fact that all reports here start from."""
     rows = sales.filter(F.col("sku").isNotNull())
@@ -134,7 +160,7 @@ def with_order_totals(pos: DataFrame) -> DataFrame:
 def order_ratio(sales: DataFrame) -> DataFrame:
     """(order_id, product_id, sales, order_sales, ratio): the share of each product in its order; 0 if nothing was sold."""
     joined = with_order_totals(product_order_sales(sales))
-    share = _scaled(_rounded_quotient(_units(F.col("sales"), 2), _units(F.col("order_sales"), 2), 8), 8)
+    share = _quotient([(F.col("sales"), 2)], (F.col("order_sales"), 2), 8, 8)
     ratio = F.when(F.col("order_sales") > 0, share).otherwise(F.lit(0)).cast(RATIO)
     return joined.select("order_id", "product_id", "sales", "order_sales", ratio.alias("ratio"))
 
@@ -165,8 +191,7 @@ def order_charges(financial: DataFrame) -> DataFrame:
 def share_of(amount: Column, part: Column, whole: Column) -> Column:
     """amount x part / whole, 0 where the whole is not positive."""
     # cents x cents / cents, to 10^-8: six digits beyond cents
-    product = (_units(F.coalesce(amount, _zero(CENTS)), 2) * _units(part, 2)).cast(_WHOLE)
-    exact = _scaled(_rounded_quotient(product, _units(whole, 2), 6), 8)
+    exact = _quotient([(F.coalesce(amount, _zero(CENTS)), 2), (part, 2)], (whole, 2), 6, 8)
     return F.when(whole > 0, exact).otherwise(F.lit(0)).cast(SHARE)
 
 
@@ -239,7 +264,7 @@ def _profit() -> Column:
 def _margin(profit: Column) -> Column:
     """Profit in percent of the sales, 0 without sales."""
     # 10^-8 units over cents are 10^-4 of a percent
-    percent = _scaled(_rounded_quotient(_units(profit, 8), _units(F.col("sales"), 2)), 4)
+    percent = _quotient([(profit, 8)], (F.col("sales"), 2), 0, 4)
     return F.when(F.col("sales") != 0, percent).otherwise(F.lit(0)).cast(PERCENT)
 
 
@@ -347,7 +372,7 @@ def margin_breakdown(
         rows = rows.filter(F.col("product_id") == product)
     goods = cogs_by_product_variant(bank, product).groupBy("product_id").agg(F.sum("cogs").cast(CENTS).alias("goods"))
     whole = F.col("order_sales") if ratio_scope == "order" else F.col("sales")
-    percent = _scaled(_rounded_quotient(_units(F.col("sales"), 2), _units(whole, 2), 6), 4)
+    percent = _quotient([(F.col("sales"), 2)], (whole, 2), 6, 4)
     out = rows.join(goods, "product_id", "left").select(
         "product_id",
         F.col("order_id").cast("string").alias("order_id"),

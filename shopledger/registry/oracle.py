@@ -33,24 +33,20 @@ _KINDS = {
     "f4": "CAST({} AS DOUBLE) / 10000",
     "f1": "CAST({} AS DOUBLE) / 10",
     "f8": "CAST({} AS DOUBLE) / 100000000",
+    "u": "CAST({} AS DOUBLE) / 100000000",  # allocated amounts
     "s": "CAST({} AS VARCHAR)",
     "d": "CAST(CAST({} AS DATE) AS VARCHAR)",
     "b": "CAST({} AS BOOLEAN)",
 }
 
 
-def _u(c: str) -> str:
-    """1e-8 units to money in cents, as a double."""
-    return f"CAST({rdiv(c, '1000000')} AS DOUBLE) / 100"
-
-
 def add(name: str, body: str, /, **columns: str) -> None:
     """Register ``body`` (one select, may start with WITH) with typed output columns."""
     shown = []
     for column, kind in columns.items():
         column = column.replace("__", " ")
-        expr = _u(f'"{column}"') if kind == "u" else _KINDS[kind].format(f'"{column}"')
-        shown.append(f'{expr} AS "{column}"')
+        quoted = f'"{column}"'
+        shown.append(f'{_KINDS[kind].format(quoted)} AS {quoted}')
     ORACLE[name] = f"SELECT {', '.join(shown)} FROM ({body}) result"
 
 
