@@ -67,7 +67,8 @@ def _quotient(factors: list[tuple[Column, int]], bottom: tuple[Column, int], dig
     amounts = [*factors, bottom]
     sizes = [F.abs(c.cast("double")) * float(10**d) for c, d in amounts]
     product = reduce(lambda x, y: x * y, sizes[:-1])
-    small = reduce(lambda x, y: x & y, [n < 1e15 for n in sizes]) & (product < 4e18) & (sizes[-1] * float(2 * 10**digits) < 4e18) & (product / sizes[-1] * float(10**digits) < 4e18)
+    fits = (product < 4e18) & (sizes[-1] * float(2 * 10**digits) < 4e18) & (product * float(10**digits) < sizes[-1] * 4e18)
+    small = reduce(lambda x, y: x & y, [n < 1e15 for n in sizes], fits)
     short = [F.rint(c.cast("double") * float(10**d)).cast("bigint") for c, d in amounts]
     wide = [_units(c, d) for c, d in amounts]
     quick = _whole_quotient(reduce(lambda x, y: x * y, short[:-1]), short[-1], digits)
