@@ -1,5 +1,9 @@
 """Fixed values. They are part of the data contract (file names, headers, account codes, labels, rates), not tuning."""
 
+#: Column with the place of a row in its input: number of the file in its dataset, part file, start of the split, row in it.
+INPUT_POSITION = "_input"
+
+
 from decimal import Decimal
 
 # ---- fixed values: currency -------------------------------------------------------------------

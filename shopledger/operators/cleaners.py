@@ -35,7 +35,7 @@ from ..functions.text import (
     squash,
     strip,
 )
-from .keys import keep_first
+from .keys import keep_first, row_order
 
 # raw columns that hold money, dates or text to tidy, per dataset
 STATEMENT_MONEY = ("Amount", "Fees & Taxes", "Net", "Tax Details")
@@ -249,11 +249,11 @@ def rename_catalog(raw: DataFrame) -> DataFrame:
 
 
 def clean_product_catalog(raw: DataFrame, order_by: Iterable[str] = ()) -> DataFrame:
-    """Catalog rows with a full natural key, one per key: the first by ``order_by`` (columns named ``_...``), then by names."""
+    """Catalog rows with a full natural key, one per key: the first in the file, or by ``order_by`` (columns named ``_...``)."""
     df = rename_catalog(raw)
     changes = {c: clean_text(c, 50) for c in CATALOG_KEY} | {c: clean_text(c, 200) for c in CATALOG_NAMES}
     tidy = _apply(df, changes).dropna(subset=list(CATALOG_KEY))
-    first = keep_first(tidy, CATALOG_KEY, list(order_by))
+    first = keep_first(tidy, CATALOG_KEY, list(order_by) or row_order(tidy, CATALOG_KEY))
     return first.select("product_line_id", "product_line_name", "product_id", "product_name", "variant_id", "variant_name")
 
 

@@ -7,11 +7,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CALENDAR_END, CALENDAR_START, CATALOG_KEY, CATALOG_NAMES, HOME_COUNTRY, OPEN_END
+from ..constants import CALENDAR_END, CALENDAR_START, CATALOG_KEY, CATALOG_NAMES, HOME_COUNTRY, INPUT_POSITION, OPEN_END
 from ..functions.dates import date_key, day_first_date
 from ..functions.lookups import country_columns, is_peak_season, retail_season, selling_season
 from ..functions.text import MONEY, as_col, clean_text, parse_list, sku_to_list, snake_name, strip, whole_number
-from .keys import assign_keys, keep_first
+from .keys import assign_keys, first_row, keep_first, position, row_order
 
 
 def null_text() -> Column:
@@ -89,10 +89,10 @@ def build_dim_geography(orders: DataFrame) -> DataFrame:
             F.col("ship_state").alias("state_name"),
             F.col("ship_city").alias("city_name"),
         )
-        .agg(F.min("ship_zipcode").alias("postal_code"))
+        .agg(F.min("ship_zipcode").alias("postal_code"), *[F.min(c).alias(INPUT_POSITION) for c in position(orders)])
         .withColumn("location_hash", location_hash("country_name", "state_name", "city_name"))
     )
-    keyed = assign_keys(keep_first(places, ["location_hash"]), "location_hash", "geography_key")
+    keyed = assign_keys(first_row(places, ["location_hash"]), "location_hash", "geography_key")
     return keyed.withColumns(country_columns("country_name") | audit_columns())
 
 
@@ -160,7 +160,8 @@ ORDER_TEXT = ("order_type", "payment_method", "payment_type", "coupon_code", "co
 def build_dim_order(orders: DataFrame, checkout: DataFrame | None) -> DataFrame:
     """One row per order id of the orders or the payments."""
     wanted = ["order_id", *ORDER_TEXT, "number_of_items", *ORDER_MONEY, "ship_country", "ship_state", "ship_city", "inperson_location"]
-    mine = keep_first(_pick(orders, wanted).withColumn("order_id", whole_number("order_id")), ["order_id"])
+    wanted += [INPUT_POSITION] if INPUT_POSITION in orders.columns else []
+    mine = first_row(_pick(orders, wanted).withColumn("order_id", whole_number("order_id")), ["order_id"])
     if checkout is not None:
         paid = checkout.select(whole_number("order_id").alias("order_id")).distinct()
         mine = mine.join(paid, "order_id", "full_outer")
@@ -258,9 +259,11 @@ def build_dim_product(listing: DataFrame | None, items: DataFrame | None) -> Dat
         shown = listing.select(
             *[(as_col(c) if c in listing.columns else null_text()).cast("string").alias(c) for c in plain],
             _sku_items(listing, "sku").alias("sku"),
+            *position(listing),
         )
         # one listing per title: the result has one row per listing id, so pairs of equal titles are never formed
-        left = keep_first(shown.withColumn("__title", _title_key("title")), ["__title"])
+        shown = shown.withColumn("__title", _title_key("title"))
+        left = keep_first(shown, ["__title"], row_order(shown, ["__title"])).withColumnRenamed(INPUT_POSITION, "__at")
     if items is not None:
         sold = items.select(
             whole_number("listing_id").alias("listing_id"),
@@ -268,8 +271,9 @@ def build_dim_product(listing: DataFrame | None, items: DataFrame | None) -> Dat
             (as_col("price") if "price" in items.columns else null_text()).cast(MONEY).alias("item_price"),
             (as_col("quantity") if "quantity" in items.columns else null_text()).try_cast("int").alias("item_quantity"),
             _sku_items(items, "sku").alias("item_sku"),
+            *position(items),
         )
-        right = keep_first(sold.filter(F.col("listing_id").isNotNull()), ["listing_id"])
+        right = first_row(sold.filter(F.col("listing_id").isNotNull()), ["listing_id"])
         right = right.withColumn("__title", _title_key("item_name"))
     if left is not None and right is not None:
         # a left join plus the unmatched listings instead of a full join: the runtime can split a hot title on the left
@@ -306,10 +310,11 @@ def build_dim_product(listing: DataFrame | None, items: DataFrame | None) -> Dat
         F.col("image1").alias("primary_image_url"),
         F.coalesce("sku", "item_sku", empty).alias("sku_list"),
         F.lit(0).cast("decimal(3,2)").alias("completeness_score"),
+        *[F.col(c).alias(INPUT_POSITION) for c in joined.columns if c == "__at"],
     )
     key = F.coalesce(F.lpad(F.col("listing_id").cast("string"), 19, "0"), F.concat(F.lit("t:"), F.lower("title")))
     keyed = shaped.withColumn("__key", key).filter(F.col("__key").isNotNull())
-    unique = keep_first(keyed, ["__key"])
+    unique = first_row(keyed, ["__key"])
     return assign_keys(unique, "__key", "product_key").drop("__key").withColumns(scd_columns() | audit_columns())
 
 
@@ -327,8 +332,9 @@ def derive_bank_accounts(bank: DataFrame) -> DataFrame:
         (as_col(address) if address else null_text()).alias("customer_address"),
         (F.coalesce(as_col(currency), F.lit("VND")) if currency else F.lit("VND")).alias("currency_code"),
         (as_col(opened) if opened else F.lit(None).cast("date")).alias("opening_date"),
+        *position(bank),
     )
-    return keep_first(rows.filter(F.col("account_number").isNotNull()), ["account_number"])
+    return first_row(rows.filter(F.col("account_number").isNotNull()), ["account_number"])
 
 
 def opening_date(df: DataFrame) -> Column:
@@ -357,8 +363,9 @@ def build_dim_bank_account(accounts: DataFrame) -> DataFrame:
         text("customer_address").alias("customer_address"),
         active.alias("is_active"),
         (F.coalesce(text("currency_code"), F.lit("VND"))).alias("currency_code"),
+        *position(df),
     ).filter(F.col("account_number").isNotNull())
-    one = keep_first(rows, ["account_number"])
+    one = first_row(rows, ["account_number"])
     return assign_keys(one, "account_number", "bank_account_key").withColumns(audit_columns())
 
 
@@ -371,8 +378,9 @@ def build_dim_product_catalog(catalog: DataFrame) -> DataFrame:
     tidy = catalog.select(
         *[clean_text(c, 50).alias(c) for c in CATALOG_KEY],
         *[clean_text(c, 200).alias(c) for c in CATALOG_NAMES],
+        *position(catalog),
     )
-    rows = keep_first(tidy.dropna(subset=list(CATALOG_KEY)), CATALOG_KEY).withColumn("product_code", product_code())
+    rows = first_row(tidy.dropna(subset=list(CATALOG_KEY)), CATALOG_KEY).withColumn("product_code", product_code())
     natural = F.to_json(F.array(*CATALOG_KEY))  # unlike the code, never equal for two different keys
     keyed = assign_keys(rows.withColumn("__key", natural), "__key", "product_catalog_key")
     return keyed.drop("__key").withColumns(audit_columns())

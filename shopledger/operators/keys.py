@@ -8,19 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..constants import INPUT_POSITION
 from ..functions.text import as_col
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the smallest by ``order_by``, ties by the other columns.
+def row_order(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """What "first" means in a table: the place in the input files where the reader noted it, else all columns but the keys."""
+    return [INPUT_POSITION] if INPUT_POSITION in df.columns else [c for c in df.columns if c not in keys]
+
+
+def position(df: DataFrame) -> list[Column]:
+    """The input position of a table, for a projection; nothing where it has none."""
+    return [F.col(INPUT_POSITION)] if INPUT_POSITION in df.columns else []
+
+
+def first_row(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row per key by ``row_order``; the position goes."""
+    return keep_first(df, keys, row_order(df, keys)).drop(INPUT_POSITION)
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest by ``order_by``, ties by the other columns. Without an order there is no first row.
 
     An aggregate, not a window: rows of a hot key are reduced before the shuffle.
     """
-    order = [c for c in (order_by or []) if c not in keys]
+    order = [c for c in order_by if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]
     others = order + rest
     if not others:
         return df.select(*keys).distinct()
+    if not order:
+        raise ValueError(f"which row of a key {list(keys)} is the first? No order is given")
     best = df.groupBy(*[as_col(k) for k in keys]).agg(F.min(F.struct(*[as_col(c) for c in others])).alias("best"))
     return best.select(*keys, "best.*").select(*df.columns)
 

@@ -11,12 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CATALOG_KEY, CATALOG_NAMES, MERGE_KEYS
+from ..constants import CATALOG_KEY, CATALOG_NAMES, INPUT_POSITION, MERGE_KEYS
 from ..functions.dates import key_date
 from ..functions.text import as_col
 from ..session import through_table
 from .dimensions import calendar_columns, product_code
-from .keys import assign_keys, keep_first
+from .keys import assign_keys, first_row, keep_first, position, row_order
 
 
 def _max_key(current: DataFrame, surrogate_key: str):
@@ -36,12 +36,14 @@ def unseen_rows(
 ) -> DataFrame:
     """The incoming rows whose business key is not stored, one per key, numbered after the largest stored key.
 
-    Incoming rows with a null business key are dropped; of several with the same key the first by ``order_by`` counts. The
+    Incoming rows with a null business key are dropped; of several with the same key the first by ``order_by``, or
+    else in the input files, counts. The
     rows are written once before they are numbered, so that the join and the choice do not run twice.
     """
     known = current.filter(F.col("is_current")) if "is_current" in current.columns else current
     unseen = incoming.filter(as_col(business_key).isNotNull()).join(known.select(business_key), business_key, "left_anti")
-    new = keep_first(unseen.select(*incoming.columns).drop(surrogate_key), [business_key], list(order_by))
+    new = unseen.select(*incoming.columns).drop(surrogate_key)
+    new = keep_first(new, [business_key], list(order_by) or row_order(new, [business_key])).drop(INPUT_POSITION)
     return _number_new(through_table(new, "unseen"), business_key, surrogate_key, current)
 
 
@@ -113,7 +115,7 @@ def _unseen_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
     incoming = accounts.filter(F.col("account_number").isNotNull())
     new = incoming.join(current.select("account_number"), "account_number", "left_anti")
     names = ["account_number", "account_name", "opening_date"]
-    one = keep_first(new.select(*names), ["account_number"])
+    one = first_row(new.select(*names, *position(new)), ["account_number"])
     filled = one.withColumns(
         {
             "account_name": F.coalesce("account_name", "account_number"),
@@ -132,11 +134,9 @@ def ensure_bank_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def upsert_bank_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Update name and opening date of stored accounts, add the others. A null opening date leaves the stored one."""
-    incoming = keep_first(
-        accounts.filter(F.col("account_number").isNotNull()).select("account_number", "account_name", "opening_date"),
-        ["account_number"],
-    )
+    """Update name and opening date of stored accounts, add the others. Of an account's rows the first in the file counts. A null opening date leaves the stored one."""
+    known = accounts.filter(F.col("account_number").isNotNull())
+    incoming = first_row(known.select("account_number", "account_name", "opening_date", *position(known)), ["account_number"])
     fresh = incoming.select(
         "account_number",
         F.coalesce("account_name", "account_number").alias("__name"),
@@ -155,8 +155,8 @@ def upsert_bank_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def _catalog_rows(incoming: DataFrame) -> DataFrame:
-    rows = incoming.select(*CATALOG_KEY, *CATALOG_NAMES).dropna(subset=list(CATALOG_KEY))
-    return keep_first(rows, CATALOG_KEY)
+    rows = incoming.select(*CATALOG_KEY, *CATALOG_NAMES, *position(incoming)).dropna(subset=list(CATALOG_KEY))
+    return first_row(rows, CATALOG_KEY)
 
 
 def _unseen_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def run_period(spark: SparkSession, raw_root: str, period: str, warehouse: str)
 
     Facts look their keys up in the merged dimensions, so no key is remapped afterwards.
     """
-    raw = load_period(spark, raw_root, period)
+    raw = load_period(spark, raw_root, period, positions=True)
     problems = {k: m for k, df in raw.items() if (m := validate_columns(k, df.columns))}
     if problems:
         raise ValueError(f"period {period}: {problems}")

@@ -628,6 +628,10 @@ _TEXT = f"""SELECT o_orderkey AS "Order ID", CAST(CAST(o_orderdate AS DATE) AS V
   'say "' || o_orderpriority || '",' || chr(10) || 'next line' AS "Note" FROM orders"""
 _TEXT_COLUMNS = {"Order__ID": "s", "Sale__Date": "s", "Order__Value": "s", "Note": "s"}
 add("scan_csv", _TEXT, **_TEXT_COLUMNS)
+add("bank_export_layouts", f"""SELECT o_orderkey AS ref, 'say "' || o_orderpriority || '",' || chr(10) || 'line two' AS description, {cents('o_totalprice')} AS amount, CASE WHEN o_orderstatus = 'O' THEN 'x' || o_orderkey END AS filler FROM orders""",
+    ref="i", description="s", amount="m", filler="s")
+add("first_rows", """SELECT 'product' AS kind, CAST(p_partkey AS VARCHAR) AS id, 'zz ' || p_name AS name FROM part UNION ALL SELECT 'catalog', 'MG' || p_partkey, 'zz ' || p_name FROM part
+  UNION ALL SELECT k, 'S' || s_suppkey, 'zz ' || s_name FROM supplier, (VALUES ('account'), ('feed')) v(k)""", kind="s", id="s", name="s")
 add("load_period", f"SELECT 'sold_orders' AS dataset, {_N['orders']} AS row_count UNION ALL SELECT 'deposits', {_N['orders']}", dataset="s", row_count="i")
 _THOUSANDS = f"CASE WHEN {_VALUE} >= 100000000 THEN ({_VALUE} // 100000000) || ',' || lpad(CAST({_VALUE} // 100000 % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST({_VALUE} // 100 % 1000 AS VARCHAR), 3, '0') WHEN {_VALUE} >= 100000 THEN ({_VALUE} // 100000) || ',' || lpad(CAST({_VALUE} // 100 % 1000 AS VARCHAR), 3, '0') ELSE CAST({_VALUE} // 100 AS VARCHAR) END || '.' || lpad(CAST({_VALUE} % 100 AS VARCHAR), 2, '0')"
 add("load_dataset", f"""SELECT strftime(o_orderdate, '%B %-d, %Y') AS "Date", CASE WHEN {_PAID} THEN '₫' ELSE '$' END || {_THOUSANDS} AS "Amount", CASE WHEN {_PAID} THEN 'VND' ELSE 'USD' END AS "Currency", o_orderstatus AS "Status",

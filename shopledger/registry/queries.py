@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -915,6 +916,60 @@ def header_row_detection(spark, sf):
     return C.clean_bank_transactions(read).select(*BANK_COLUMNS)
 
 
+@query
+def bank_export_layouts(spark, sf):
+    """Exports in two layouts, one of 70 columns, with a preamble and quoted line breaks: each file under its own header."""
+    wide = ["Amount", *[f"X{i}" for i in range(1, 68)], "Description", "Ref"]
+    text = F.concat(F.lit('say ""'), F.col("o_orderpriority"), F.lit('"",\nline two'))
+    cells = {"Ref": F.col("o_orderkey").cast("string"), "Description": text, "Amount": A.dec("o_totalprice").cast("string"), "X67": F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))}
+
+    def line(names):
+        return F.concat_ws(",", *[F.concat(F.lit('"'), cells[n], F.lit('"')) if n in cells else F.lit("") for n in names])
+
+    narrow = ["Ref", "Description", "Amount"]
+    orders = A.table(spark, sf, "orders")
+    open_orders = F.col("o_orderstatus") == "O"
+    data = orders.select(F.col("o_orderstatus").alias("file"), F.lit(2).alias("at"), F.when(open_orders, line(wide)).otherwise(line(narrow)).alias("line"))
+    tops = F.when(F.col("file") == "O", F.array(F.lit("Bank,Branch"), F.lit(",".join(wide)))).otherwise(F.array(F.lit('"Bank, main\noffice"'), F.lit(",".join(narrow))))
+    heads = data.select("file").distinct().select("file", F.posexplode(tops).alias("at", "line"))
+    path = scratch_path(spark, "bank-layouts")
+    data.unionByName(heads).repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(path)
+    read = bank_export.read_bank_export(spark, f"{path}/file=*")
+    return read.select(F.col("Ref").cast("bigint").alias("ref"), F.col("Description").alias("description"), F.col("Amount").cast("decimal(15,2)").alias("amount"), F.col("X67").alias("filler"))
+
+
+@query
+def first_rows(spark, sf):
+    """Of rows that repeat a key the first in the file counts, here never the smallest: products, catalog, bank accounts."""
+    root, twice = scratch_path(spark, "first-rows"), F.explode(F.array(F.lit("zz"), F.lit("aa")))
+
+    def export(rows, key, name):
+        # both rows of a key lie in one part file, in this order
+        marked = rows.withColumn("__n", F.monotonically_increasing_id()).repartition(4, key).sortWithinPartitions(key, "__n")
+        sinks.export_csv(marked.drop("__n"), f"{root}/2025-01/{name}")
+
+    part = A.table(spark, sf, "part").select("*", twice.alias("mark"))
+    name, product = F.concat("mark", F.lit(" "), "p_name"), F.concat(F.lit("MG"), F.col("p_partkey").cast("string"))
+    export(part.select(F.col("p_partkey").alias("Listing ID"), name.alias("Item Name"), F.lit("1.00").alias("Price")), "Listing ID", "EtsySoldOrderItems2025-1.csv")
+    catalog = {"Product line ID": F.lit("L"), "Product line": F.col("mark"), "Product ID": product, "Product": name, "Variant ID": F.lit("01"), "Variants": F.col("mark")}
+    export(part.select(*[c.alias(n) for n, c in catalog.items()]), "Product ID", "product_catalog.csv")
+    supplier = A.table(spark, sf, "supplier").select("*", twice.alias("mark"))
+    number = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    bank = {"Account Number": number, "Account Name": F.concat("mark", F.lit(" "), "s_name"), "Description": F.lit("x"), "Transaction Date": F.lit("01/02/2025")}
+    export(supplier.select(*[c.alias(n) for n, c in bank.items()]), "Account Number", "fact_bank_transactions.csv")
+    raw = files.load_period(spark, root, "2025-01", positions=True)
+    clean = {k: through_table(df, f"clean-{k}") for k, df in C.clean_all(raw).items()}
+    accounts = clean["bank_transactions"].select("account_number", "account_name", "opening_date", "_input")
+    stored = D.build_dim_bank_account(accounts.withColumn("account_name", F.lit("old")))
+    found = [
+        ("product", D.build_dim_product(None, clean["sold_order_items"]), F.col("listing_id").cast("string"), "title"),
+        ("catalog", D.build_dim_product_catalog(clean["product_catalog"]), F.col("product_id"), "product_name"),
+        ("account", D.derive_bank_accounts(clean["bank_transactions"]), F.col("account_number"), "account_name"),
+        ("feed", M.upsert_bank_accounts(stored, accounts), F.col("account_number"), "account_name"),
+    ]
+    return reduce(lambda a, b: a.union(b), [df.select(F.lit(kind).alias("kind"), key.alias("id"), F.col(label).alias("name")) for kind, df, key, label in found])
+
+
 @query
 def ingest_stream(spark, sf):
     """A file stream run twice: the second run reads only the file that came in between."""

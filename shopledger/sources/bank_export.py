@@ -1,62 +1,70 @@
-"""Bank exports: some preamble rows, then the header row, then the data."""
+"""Bank exports: some preamble rows, then the header row, then the data. Files of one load may have different layouts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BANK_HEADER_WORDS
-from .files import text_schema
+from ..constants import BANK_HEADER_WORDS, INPUT_POSITION
+from ..session import through_table
+from .files import input_position, text_schema
 
-#: Cells read per row; a wider row is an error.
-MAX_COLUMNS = 64
+# A cell behind a comma: quoted, with doubled quotes and line breaks inside, or plain.
+_CELL = r',("(?:[^"]++|"")*+"|[^,]*)'
 
 
-def read_bank_export(spark: SparkSession, paths: str | Sequence[str], max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Data rows under the header row of each file.
+def record_cells(record: Column) -> Column:
+    """All cells of a CSV record, however many; an empty cell is null."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.transform(plain, lambda c: F.nullif(c, F.lit("")))
 
-    The header is the first row whose text contains one of the known words, else the first row. Rows are placed by
-    (start of the file split, row id in the scan), so a large file may be read by many tasks. Files are grouped by their
-    header; only the headers come to the driver, one per distinct layout.
+
+def read_records(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """(file, place, cells) of every record that is not blank, in one scan.
+
+    The schema has one column, so a record of several cells is given whole in the column for records that do not fit it.
+    Quoted line breaks need ``multi_line``, which reads each file in one task.
     """
-    cells = [f"c{i}" for i in range(max_columns)]
-    rows = (
-        spark.read.schema(text_schema([*cells, "beyond"]))
-        .options(header=False, quote='"', escape='"', encoding="UTF-8")
-        .csv(paths)
-        .select(
-            F.when(F.col("beyond").isNotNull(), F.raise_error(F.lit(f"a bank export has more than {max_columns} columns"))).otherwise(F.col(cells[0])).alias(cells[0]),
-            *cells[1:],
-            F.col("_metadata.file_path").alias("file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
-            ).alias("place"),
-        )
-    )
-    line = F.lower(F.concat_ws(" ", *cells))
+    options = {"header": False, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": multi_line, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "record"}
+    rows = spark.read.schema(text_schema(["only", "record"])).options(**options).csv(paths)
+    cells = F.when(F.col("record").isNull(), F.array(F.nullif("only", F.lit("")))).otherwise(record_cells(F.col("record")))
+    found = rows.select(F.col("_metadata.file_path").alias("file"), input_position().alias("place"), cells.alias("cells"))
+    return found.filter(F.exists("cells", lambda c: c.isNotNull()))
+
+
+def header_rows(records: DataFrame) -> DataFrame:
+    """(file, head_place, names): the first record of each file whose text contains a known word, else its first record."""
+    line = F.lower(F.array_join("cells", " "))
     is_header = reduce(lambda a, b: a | b, [line.contains(w) for w in BANK_HEADER_WORDS])
-    cell_array = F.array(*cells)
-    heads = rows.groupBy("file").agg(
-        F.min(F.when(is_header, F.struct("place", cell_array.alias("names")))).alias("marked"),
-        F.min(F.struct("place", cell_array.alias("names"))).alias("first"),
-    )
-    heads = heads.select("file", F.coalesce("marked", "first").alias("head")).select(
-        "file", F.col("head.place").alias("head_place"), F.col("head.names").alias("names")
-    )
-    layouts = [r.names for r in heads.select("names").distinct().collect()]
-    body = rows.join(heads, "file").filter(
-        (F.col("place") > F.col("head_place")) & (F.size(F.array_compact(cell_array)) > 0)
-    )
-    tables = []
-    for names in sorted(layouts, key=str):
-        used = [(c, n) for c, n in zip(cells, names) if n is not None]
-        same = F.concat_ws("\x01", F.transform("names", lambda n: F.coalesce(n, F.lit("\x02")))) == "\x01".join(
-            "\x02" if n is None else n for n in names
-        )
-        tables.append(body.filter(same).select(*[F.col(c).alias(n) for c, n in used]))
-    if not tables:
-        return rows.select(*cells)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    record = F.struct("place", "cells")
+    heads = records.groupBy("file").agg(F.min(F.when(is_header, record)).alias("marked"), F.min(record).alias("first"))
+    heads = heads.select("file", F.coalesce("marked", "first").alias("head"))
+    return heads.select("file", F.col("head.place").alias("head_place"), F.col("head.cells").alias("names"))
+
+
+def read_bank_export(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True, positions: bool = False) -> DataFrame:
+    """Data rows under the header row of each file; the columns are those of all headers, absent ones are null.
+
+    The files are parsed once and the records stored with their places, so that header and data rows are told apart by what
+    was written and not by a second scan. A row takes the places of its file's header: an array of cell numbers in the order
+    of the output columns, one row per file. Only the distinct column names come to the driver. Of equal names in a header
+    the first counts. A cell behind the header's last column is an error, a shorter row is filled with null. With
+    ``positions`` rows carry their place in the input.
+    """
+    records = through_table(read_records(spark, paths, multi_line), "bank-records")
+    heads = through_table(header_rows(records), "bank-headers")
+    named = heads.select(F.posexplode("names").alias("at", "name")).filter("name is not null").groupBy("name").agg(F.min("at").alias("at"))
+    columns = [r.name for r in named.orderBy("at", "name").collect()]
+    places = F.array(*[F.array_position("names", F.lit(n)).cast("int") - 1 for n in columns]) if columns else F.array().cast("array<int>")
+    layouts = heads.select("file", "head_place", F.size("names").alias("width"), places.alias("places"))
+    body = records.join(layouts, "file").filter(F.col("place") > F.col("head_place"))
+    beyond = F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: c.isNotNull())
+    message = F.concat(F.lit("a row has more cells than the header of "), F.col("file"))
+    checked = F.when(beyond, F.raise_error(message).cast("array<string>")).otherwise(F.col("cells"))
+    rows = body.select(checked.alias("cells"), "places", "place")
+    values = [F.get("cells", F.col("places")[k]).alias(n) for k, n in enumerate(columns)]
+    return rows.select(*values, *([F.col("place").alias(INPUT_POSITION)] if positions else []))

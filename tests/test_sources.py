@@ -8,6 +8,7 @@ from shopledger.operators.dimensions import build_dim_time
 from shopledger.plans.pipeline import load_star, run_period
 from shopledger.plans.product_cost import allocate
 from shopledger.session import shared_dir
+from shopledger.operators.cleaners import clean_product_catalog
 from shopledger.sources import bank_export, files, sinks, validate
 from shopledger.streaming import ingest
 
@@ -98,6 +99,44 @@ def test_bank_export_preamble(spark, tmp_path):
     assert bank_export.read_bank_export(spark, str(tmp_path / "b2.csv")).first().asDict() == {"A": "1", "B": "2"}
 
 
+def test_bank_exports_of_two_layouts(spark, tmp_path):
+    """Line breaks in cells, blank cells between, 70 columns, and rows in the order of the file."""
+    filler = [f"h{i}" for i in range(69)]
+    (tmp_path / "a.csv").write_text('Bank,"Main\noffice"\n\nDate,Description,Amount\n1,"line one\nline two, ""q""",5\n2,,\n,,\n3,x,7,,\n')
+    (tmp_path / "b.csv").write_text("\n".join([",".join(["Diễn giải", *filler]), ",".join(["z", *["" if i % 2 else str(i) for i in range(69)]])]) + "\n")
+    read = bank_export.read_bank_export(spark, str(tmp_path / "*.csv"), positions=True)
+    rows = sorted(read.collect(), key=lambda r: r._input)
+    assert [(r.Date, r.Description, r.Amount) for r in rows[:3]] == [("1", 'line one\nline two, "q"', "5"), ("2", None, None), ("3", "x", "7")]
+    assert (rows[3]["Diễn giải"], rows[3].h67, rows[3].h68) == ("z", None, "68") and len(read.columns) == 74
+    assert rows[0].h0 is None
+    plan = read._jdf.queryExecution().toString()
+    assert "FileScan csv" not in plan  # parsed once, before
+    by_line = bank_export.read_bank_export(spark, str(tmp_path / "b.csv"), multi_line=False)
+    assert by_line.first().h68 == "68"
+
+
+def test_bank_export_wider_than_its_header(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("Date,Description\n1,2,,4\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        bank_export.read_bank_export(spark, str(tmp_path / "wide.csv")).collect()
+    (tmp_path / "bare.csv").write_text("Date,Description\n")
+    assert bank_export.read_bank_export(spark, str(tmp_path / "bare.csv")).count() == 0
+
+
+def test_first_row_of_a_key_is_the_first_in_the_files(spark, tmp_path):
+    d = tmp_path / "2025-03"
+    head = ["Product line ID", "Product line", "Product ID", "Product", "Variant ID", "Variants"]
+    write(d / "b_product_catalog.csv", head, [["L", "l", "P", "zeta", "01", "v"], ["L", "l", "P", "alpha", "01", "v"], ["L", "l", "Q", "omega", "01", "v"]])
+    write(d / "a_product_catalog.csv", head, [["L", "l", "Q", "mid", "01", "v"], ["L", "l", "Q", "beta", "01", "v"]])
+    raw = files.load_period(spark, str(tmp_path), "2025-03", positions=True)["product_catalog"]
+    cleaned = clean_product_catalog(raw)
+    assert {r.product_id: r.product_name for r in cleaned.collect()} == {"P": "zeta", "Q": "mid"}
+    (d / "manifest.json").write_text('{"product_catalog": [{"filename": "b_product_catalog.csv"}, {"filename": "a_product_catalog.csv"}]}')
+    raw = files.load_period(spark, str(tmp_path), "2025-03", positions=True, single_line=["product_catalog"])["product_catalog"]
+    assert {r.product_id: r.product_name for r in clean_product_catalog(raw).collect()} == {"P": "zeta", "Q": "omega"}
+    assert "_input" not in files.load_period(spark, str(tmp_path), "2025-03")["product_catalog"].columns
+
+
 def test_header_rules():
     assert validate.validate_columns("statement", [" date", "TYPE ", "Currency", "net"]) == []
     assert len(validate.validate_columns("statement", ["Date"])) == 3

@@ -25,6 +25,13 @@ def test_keys_are_dense_and_stable(spark):
     assert assign_keys(df, "k", "sk", after=F.lit(10)).agg(F.min("sk")).first()[0] == 11
 
 
+def test_keep_first_needs_an_order(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1)], "k string, v int")
+    with pytest.raises(ValueError, match="No order"):
+        keep_first(df, ["k"], [])
+    assert keep_first(df.select("k"), ["k"], []).count() == 1
+
+
 def test_keep_first_orders_explicitly(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert sorted(tuple(r) for r in keep_first(df, ["k"], ["o"]).collect()) == [("a", 1, "y"), ("b", 3, None)]
