@@ -106,12 +106,19 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
     return runs
 
 
-def _lines_left(text: Column, runs: Column) -> Column:
-    """The lines of a text that lie in none of the runs. Lines without a word are in no run."""
-    lines = F.split(text, "\n", -1)
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _has_word(F.get(lines, i)))
-    gone = F.flatten(F.transform(runs, lambda r: F.slice(worded, r["start"] + 1, r["end"] - r["start"])))
-    return F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
+def without_runs(found: DataFrame) -> DataFrame:
+    """``found`` (text, runs, ...) with ``lines`` and ``kept``: all lines, and those that lie in none of the runs.
+
+    Lines without a word are in no run. Each step is a column of its own, and named twice where the next one works on its
+    elements: so the optimizer computes it once a row and not once an element.
+    """
+    lines = found.withColumn("lines", F.split("text", "\n", -1))
+    numbers = F.transform("lines", lambda x, i: F.when(_has_word(x), i))
+    worded = lines.withColumn("worded", F.array_compact(numbers))
+    gone = F.flatten(F.transform("runs", lambda r: F.slice("worded", r["start"] + 1, r["end"] - r["start"])))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    left = worded.withColumn("left", F.when(F.size("worded") > 0, F.array_except(every, gone)).otherwise(every))
+    return left.withColumn("kept", F.when(F.size("left") > 0, F.transform("left", lambda i: F.get("lines", i))).otherwise(F.array().cast("array<string>")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -127,20 +134,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # one way at all sizes: the runs grow with the documents, so they are never sent to all tasks
     found = packed.join(runs.hint("merge"), F.col("row").getField(id_col) == F.col("doc_id"), "left")
-    text = F.col("row").getField(text_col)
-    left = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(_lines_left(text, F.col("runs")), "\n"))
-    return found.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    cut = without_runs(found.select("row", F.col("row").getField(text_col).alias("text"), "runs"))
+    left = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return cut.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines deleted, and the digest of the kept text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     runs = repeated_runs(docs, MIN_LINES)
-    text = F.coalesce("text", F.lit(""))
-    found = docs.join(runs.hint("merge"), "doc_id", "left").select("doc_id", text.alias("text"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), "runs")
-    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(_lines_left(F.col("text"), F.col("runs")), "\n"))
-    return found.select("doc_id", "n_lines", F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    cut = without_runs(docs.join(runs.hint("merge"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit(""))))
+    whole = F.col("runs").isNull()
+    removed = F.when(whole, 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
+    digest = F.sha2(F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")), 256)
+    return cut.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), digest.alias("kept_sha256"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
