@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: the tokens of two vocabularies over the same bytes, by merge-path partitioning.
 
-Tokens. A text with a space before it is encoded by both vocabularies. Both encode the pieces between single spaces alone (in
-B no entry holds a space behind another character, in A a space behind a word starts a pre-token), so pieces seen before come
-from a cache. The ends of the tokens are two ascending lists of byte offsets that finish at the same one.
+Tokens. A text with a space before it is encoded whole by both vocabularies. A's ids come from the rank form of the same
+vocabulary where a proof over all its entries holds, else from the vocabulary file itself. The ends of the tokens are two
+ascending lists of byte offsets that finish at the same one.
 
 Partitioning. The merge of both lists is cut on its diagonals: a binary search on every ``PIECE_ENDS``-th diagonal finds how
 many ends of A and of B lie before it, without merging anything. Pieces so hold equally many ends, whatever the text's length
@@ -29,37 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PieceCache, Workspace, arrow_pass, read_table, ship_package, tokenizer_path
+from .common import Workspace, arrow_pass, byte_alphabet, load_encoding, ranks_give_merges, read_table, ship_package, tokenizer_path
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
+#: The same vocabulary as A, as ranks.
+RANKS_A = "byte_bpe_50k.tiktoken"
 #: Token ends of one piece, of both sides together.
 PIECE_ENDS = 1 << 15
 #: Pairs whose counts go to every task (12 bytes each), at most; the counts of the others are joined.
 FREQUENT = 1 << 19
 #: Steps per doubling of the count on the scale by which the frequent pairs are chosen.
 _SCALE = 16
-#: Links that a task counts at once; characters that it encodes at once.
-_COUNTED, _ENCODED = 1 << 22, 1 << 22
+#: Links that a task counts at once.
+_COUNTED = 1 << 22
 
 _SPACE = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-#: A space beside other white space, or at an end of the text.
-_ODD_SPACE = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from 256."""
-    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Vocabularies:
-    """Both vocabularies with the bytes of their entries, and the encoded pieces of texts."""
+    """Both vocabularies with the bytes of their entries. ``twin`` is the rank file of A, if it is proven to give the same ids."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, twin: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,6 +60,7 @@ class Vocabularies:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.twin = load_encoding(twin) if twin else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
         tokens = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
@@ -75,42 +68,21 @@ class Vocabularies:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in pieces]
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes))
-        #: Nothing merges over a cut if no entry of B holds a space behind another character.
-        self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.cache = PieceCache(self._encode_many, most=150_000)
-
-    @property
-    def kind(self) -> str:
-        """How ids are packed."""
-        return "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
-
-    def _encode_many(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Packed ids of both sides for `` piece``; None where the bytes of either side are not those of the text."""
-        found = []
-        sides = zip(pieces, self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True)
-        for piece, a, b in sides:
-            whole = b" " + piece.encode()
-            same = b"".join([self.a_bytes[i] for i in a.ids]) == whole == b"".join([self.b_bytes[i] for i in b])
-            found.append((np.array(a.ids, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None)
-        return found
-
-    def pieces_of(self, text: str) -> list[str]:
-        """Pieces of a text, each without the space before it, which both sides encode alone as they do in the text."""
-        if not self.cuts:
-            return [text]
-        return _CUT.split(text) if _ODD_SPACE.search(f" {text}") else text.split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of both sides for each text; none for null and empty texts and for those whose bytes differ."""
-        cut = [self.pieces_of(t) if t else [] for t in texts]
-        self.cache.learn({p for pieces in cut for p in pieces})
-        encoded = []
-        for text, pieces in zip(texts, cut, strict=True):
-            sides = [self.cache[p] for p in pieces]
-            if None in sides:  # somewhere the bytes differ: the whole text decides
-                sides = [x for x in self._encode_many([text]) if x]
-            encoded.append((b"".join([a for a, _ in sides]), b"".join([b for _, b in sides])))
-        return encoded
+        #: How ids are packed.
+        self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+
+    def encode_a(self, text: str) -> list[int]:
+        return self.twin.encode_ordinary(text) if self.twin else self.a.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+        """Packed ids of both sides; none for null and empty texts and where the bytes of either side are not those of the text."""
+        if not text:
+            return b"", b""
+        spaced = " " + text
+        whole, a, b = spaced.encode(), self.encode_a(spaced), self.b.encode(text)
+        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+            return b"", b""
+        return np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
 
     @lru_cache(maxsize=1)  # noqa: B019 (lives as long as the worker)
     def strings(self) -> list[str]:
@@ -120,7 +92,8 @@ class Vocabularies:
 
 @lru_cache(maxsize=2)
 def load_vocabularies(path_a: str | None, path_b: str | None) -> Vocabularies:
-    return Vocabularies(path_a or tokenizer_path(VOCABULARY_A), path_b or tokenizer_path(VOCABULARY_B))
+    """Both vocabularies, once per worker; without a path the public ones. The rank form of A is proven equal beforehand."""
+    return Vocabularies(path_a or tokenizer_path(VOCABULARY_A), path_b or tokenizer_path(VOCABULARY_B), None if path_a else tokenizer_path(RANKS_A))
 
 
 def merge_path_cuts(a: np.ndarray, b: np.ndarray, work: int) -> np.ndarray:
@@ -150,22 +123,16 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path_a: str | None
     def cut(rows, ids, texts):
         known = load_vocabularies(path_a, path_b)
         size = np.dtype(known.kind).itemsize
-        at = 0
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and (upto == at or chars < _ENCODED):
-                chars += len(texts[upto] or "")
-                upto += 1
-            for row, i, (a, b) in zip(rows[at:upto], ids[at:upto], known.encode(texts[at:upto]), strict=True):
-                if len(a) + len(b) <= work * size:
-                    yield row, i, 0, 1, a, b, len(a) // size, len(b) // size, 0, 0
-                    continue
-                a_ends, b_ends = np.cumsum(known.a_lengths[np.frombuffer(a, known.kind)]), np.cumsum(known.b_lengths[np.frombuffer(b, known.kind)])
-                cuts = merge_path_cuts(a_ends, b_ends, work).tolist()
-                for k, ((i0, j0), (i1, j1)) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    starts = int(a_ends[i0 - 1]) if i0 else 0, int(b_ends[j0 - 1]) if j0 else 0
-                    yield row, i, k, len(cuts) - 1, a[i0 * size : (i1 + 1) * size], b[j0 * size : (j1 + 1) * size], i1 - i0, j1 - j0, *starts
-            at = upto
+        for row, i, text in zip(rows, ids, texts, strict=True):
+            a, b = known.encode(text)
+            if len(a) + len(b) <= work * size:
+                yield row, i, 0, 1, a, b, len(a) // size, len(b) // size, 0, 0
+                continue
+            a_ends, b_ends = np.cumsum(known.a_lengths[np.frombuffer(a, known.kind)]), np.cumsum(known.b_lengths[np.frombuffer(b, known.kind)])
+            cuts = merge_path_cuts(a_ends, b_ends, work).tolist()
+            for k, ((i0, j0), (i1, j1)) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                starts = int(a_ends[i0 - 1]) if i0 else 0, int(b_ends[j0 - 1]) if j0 else 0
+                yield row, i, k, len(cuts) - 1, a[i0 * size : (i1 + 1) * size], b[j0 * size : (j1 + 1) * size], i1 - i0, j1 - j0, *starts
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_pass(numbered, cut, _PIECES)
@@ -319,7 +286,9 @@ def align_documents(
     an id or are equal are documents of their own, and count as often; a null id stays null. Other columns are not read. An
     empty table gives an empty result.
     """
-    spark, space = docs.sparkSession, Workspace(docs.sparkSession)
+    if path_a is None and not ranks_give_merges(tokenizer_path(VOCABULARY_A), tokenizer_path(RANKS_A)):
+        path_a = tokenizer_path(VOCABULARY_A)  # named: encoded by its own library
+    space = Workspace(docs.sparkSession)
     pieces = space.table(token_pieces(docs, id_col, text_col, path_a, path_b, work), "tokens", compression="zstd")
     pairs = space.table(pair_counts(pieces, path_a, path_b), "pairs")
     lowest = frequent_from(pairs, frequent)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import zipfile
@@ -185,6 +186,52 @@ def load_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from 256."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _merge_below(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The parts of ``token`` after all merges of a lower rank than its own, lowest first, leftmost first."""
+    parts, limit = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], limit), i) for i in range(len(parts) - 1))
+        if rank >= limit:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+@lru_cache(maxsize=4)
+def ranks_give_merges(vocabulary: str, ranks_file: str) -> bool:
+    """Proof, over the whole vocabulary, that merging by ranks encodes every pre-token as merging by the vocabulary's list does.
+
+    The list merges the pairs it names, in its order; ranks merge any two parts whose bytes are a token, lowest first. They
+    agree if ids are ranks, each merge makes the token of the next id, and for every token the merges below its rank, inside
+    its own bytes, end in just the pair that the list names for it: a merge of other parts into that token then never comes
+    up, since whatever merges lie inside a token's bytes before it is made, are those of its bytes alone. Run once, in the
+    driver: both vocabularies cut pre-tokens by the same pattern, which a test compares for every code point.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        content = json.load(file)
+    model, alphabet, ranks = content["model"], byte_alphabet(), load_ranks(ranks_file)
+    added = {t["id"] for t in content["added_tokens"]}
+    ids = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if i not in added}
+    plain = content["normalizer"] is None and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    if not plain or ids != ranks or len(model["merges"]) != sum(len(t) > 1 for t in ids) or sum(len(t) == 1 for t in ids) != 256:
+        return False
+    last = -1
+    for pair in model["merges"]:
+        left, right = (bytes(alphabet[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
+        token = left + right
+        if not ids.get(token, -1) > last or _merge_below(token, ranks) != [left, right]:
+            return False
+        last = ids[token]
+    return True
+
+
 #: Marks that, behind a word, are a pre-token of their own.
 _MARKS = ",."
 _LATIN_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")

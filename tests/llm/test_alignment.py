@@ -1,7 +1,9 @@
 """Cross-tokenizer alignment against a plain walk over bytes."""
 
 import hashlib
+import json
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from shopledger.llm import alignment
-from shopledger.llm.common import tokenizer_path
+from shopledger.llm.common import ranks_give_merges, tokenizer_path
 
 ODD = ["a  b", " lead", "trail ", "tab\t x", "n\n\n m", "▁ piece", "ﬁ ﷺ Å", "　wide a b", "<0x41> <s> </s>", "x" * 3000, " ", "\n", "\x1c \x00", "it's 'll x"]
 
@@ -93,10 +95,32 @@ def test_merge_path_cuts():
             assert max([0, *a[:i1], *b[:j1]]) < min([81, *a[i1:], *b[j1:]])
 
 
-def test_cuts_are_proven_for_the_vocabulary():
+def test_ranks_are_proven_for_the_vocabulary(tmp_path):
+    paths = tokenizer_path(alignment.VOCABULARY_A), tokenizer_path(alignment.RANKS_A)
+    assert ranks_give_merges(*paths)
     known = alignment.load_vocabularies(None, None)
-    assert known.cuts and len(known.a_bytes) == 50_257 and known.kind == "<u2"
-    assert all(known.a_bytes[known.a.encode(chr(b), add_special_tokens=False).ids[-1]] == chr(b).encode() for b in range(33, 127))
+    assert len(known.a_bytes) == 50_257 and known.kind == "<u2" and known.twin is not None
+    content = json.loads(Path(paths[0]).read_text())
+    merges = content["model"]["merges"]
+    merges[300], merges[301] = merges[301], merges[300]
+    (tmp_path / "other.json").write_text(json.dumps(content))
+    assert not ranks_give_merges(str(tmp_path / "other.json"), paths[1])
+
+
+def test_both_libraries_cut_alike_at_every_code_point():
+    """The pattern names letters, numbers and white space: each code point in the company of each."""
+    a = Tokenizer.from_file(tokenizer_path(alignment.VOCABULARY_A))
+    twin = alignment.load_vocabularies(None, None).twin
+    for low in range(0, 0x110000, 0x8000):
+        found = [f"a{c}a 1{c}1 .{c}. {c} {c}{c}" for c in map(chr, range(low, low + 0x8000)) if not 0xD800 <= ord(c) < 0xE000]
+        if found:
+            assert [e.ids for e in a.encode_batch(found, add_special_tokens=False)] == [twin.encode_ordinary(t) for t in found]
+
+
+def test_named_vocabularies_are_encoded_by_their_own_library(spark, docs):
+    own = tokenizer_path(alignment.VOCABULARY_A)
+    few = docs.filter("doc_id in (1, 30, 31)")
+    assert sorted(map(tuple, alignment.align_documents(few, path_a=own).collect())) == sorted(map(tuple, alignment.align_documents(few).collect()))
 
 
 def test_query_reads_the_whole_table(spark, sides):
