@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, Workspace, read_table
 
+#: What names a document: equal rows of one id are one, differing texts under one id are two.
+DOCUMENT = ("doc_id", "version")
 #: The least run of the query, as in its SQL twin: a line that recurs alone, between differing neighbours, stays. The pipeline
 #: asks for runs from one line up.
 MIN_LINES = 2
@@ -47,31 +49,36 @@ def _has_word(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, key): lines with a word, counted by ``at`` from 0; 16 bytes name a line."""
+    """(doc_id, version, at, key): lines with a word, counted by ``at`` from 0; 16 bytes name a line.
+
+    ``version`` is a hash of the text: rows that repeat an id with differing texts are documents of their own.
+    """
     lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.split(F.col(text_col), "\n", -1), _has_word)).alias("at", "value")
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("version"),
+        F.posexplode(F.filter(F.split(F.col(text_col), "\n", -1), _has_word)).alias("at", "value"),
     )
-    return lines.select("doc_id", "at", F.unhex(F.md5("value")).alias("key"))
+    return lines.select(*DOCUMENT, "at", F.unhex(F.md5("value")).alias("key"))
 
 
 def _intervals(suffixes: DataFrame, columns: list[str], parts: int, space: Workspace) -> DataFrame:
     """Keys that begin two suffixes or more, with their rank and the first of these suffixes. Equal (id, line) is one suffix."""
-    place = F.struct("doc_id", "at")
+    place = F.struct(*DOCUMENT, "at")
     found = suffixes.groupBy(*columns).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
     return numbered_keys(found.drop("last"), columns, parts, space)
 
 
 def later_windows(lines: DataFrame, min_lines: int, space: Workspace) -> DataFrame:
-    """(doc_id, at, length): suffixes whose first ``length`` lines also start earlier, for every length of the doubling.
+    """(doc_id, version, at, length): suffixes whose first ``length`` lines also start earlier, for every length of the doubling.
 
-    ``lines`` (doc_id, at, key) is a stored table.
+    ``lines`` (doc_id, version, at, key) is a stored table.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = lines.join(_intervals(lines, ["key"], parts, space), "key")
     length, found = 1, []
     while True:
-        place = F.struct("doc_id", "at")
-        suffixes = space.table(ranked.select("doc_id", "at", "rank", (place > F.col("first")).alias("later")).dropDuplicates(["doc_id", "at"]), "suffixes")
+        place = F.struct(*DOCUMENT, "at")
+        suffixes = space.table(ranked.select(*DOCUMENT, "at", "rank", (place > F.col("first")).alias("later")).dropDuplicates([*DOCUMENT, "at"]), "suffixes")
         if suffixes.isEmpty():
             break
         if length >= min_lines:
@@ -79,29 +86,29 @@ def later_windows(lines: DataFrame, min_lines: int, space: Workspace) -> DataFra
         space.keep(lines, *[t for t, _ in found], suffixes)
         step = length if length >= min_lines else min(length, min_lines - length)
         # the rank ``step`` lines further on, where that suffix is still there: its document is one group, sorted by line
-        ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(step, step)
-        pairs = suffixes.select("doc_id", "at", F.col("rank").alias("here"), F.max("rank").over(ahead).alias("next")).filter("next is not null")
+        ahead = Window.partitionBy(*DOCUMENT).orderBy("at").rangeBetween(step, step)
+        pairs = suffixes.select(*DOCUMENT, "at", F.col("rank").alias("here"), F.max("rank").over(ahead).alias("next")).filter("next is not null")
         pairs = space.table(pairs, "pairs")
         ranked = pairs.join(_intervals(pairs, ["here", "next"], parts, space), ["here", "next"])
         length += step
-    windows = [t.filter("later").select("doc_id", "at", F.lit(n).alias("length")) for t, n in found]
-    return reduce(DataFrame.union, windows) if windows else suffixes.select("doc_id", "at", F.lit(1).alias("length"))
+    windows = [t.filter("later").select(*DOCUMENT, "at", F.lit(n).alias("length")) for t, n in found]
+    return reduce(DataFrame.union, windows) if windows else suffixes.select(*DOCUMENT, "at", F.lit(1).alias("length"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, runs): the maximal runs of lines that also start earlier, as array<struct<start, end>>, end excluded.
+    """(doc_id, version, runs): the maximal runs of lines that also start earlier, as array<struct<start, end>>, end excluded.
 
     Runs count lines with a word only, from 0; documents without a run are left out. Stored.
     """
     space = Workspace(docs.sparkSession)
     lines = space.table(document_lines(docs, id_col, text_col), "lines")
     windows = later_windows(lines, min_lines, space).withColumn("end", F.col("at") + F.col("length"))
-    before = Window.partitionBy("doc_id").orderBy("at", F.desc("end"))
+    before = Window.partitionBy(*DOCUMENT).orderBy("at", F.desc("end"))
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     opened = windows.withColumn("opens", F.when(reach >= F.col("at"), 0).otherwise(1))
     numbered = opened.withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = numbered.groupBy("doc_id", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"))
-    runs = space.table(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    runs = numbered.groupBy(*DOCUMENT, "run").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    runs = space.table(runs.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
     space.keep(runs)
     return runs
 
@@ -126,14 +133,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Earlier: in a smaller id, or in the same document further up. Runs count lines with a word only; lines without one stay
     and do not break a run. Texts that lose nothing stay byte for byte; null texts and rows with a null id stay. Rows that
-    repeat an id are one document and lose the same lines (with differing texts under one id, which lines count is not
-    defined). A document may become empty; it keeps its row. All columns stay, whatever they are called: rows travel as one
+    repeat an id and its text are one document and lose the same lines; differing texts under one id are documents of their
+    own, in the order of a hash. A document may become empty; it keeps its row. All columns stay, whatever they are called: rows travel as one
     struct, once.
     """
     runs = repeated_runs(docs, min_lines, id_col, text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # one way at all sizes: the runs grow with the documents, so they are never sent to all tasks
-    found = packed.join(runs.hint("merge"), F.col("row").getField(id_col) == F.col("doc_id"), "left")
+    same = (F.col("row").getField(id_col) == F.col("doc_id")) & (F.xxhash64(F.col("row").getField(text_col)) == F.col("version"))
+    found = packed.join(runs.hint("merge"), same, "left")
     cut = without_runs(found.select("row", F.col("row").getField(text_col).alias("text"), "runs"))
     left = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     return cut.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -143,7 +151,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines deleted, and the digest of the kept text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     runs = repeated_runs(docs, MIN_LINES)
-    cut = without_runs(docs.join(runs.hint("merge"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit(""))))
+    named = docs.withColumn("version", F.xxhash64("text"))
+    cut = without_runs(named.join(runs.hint("merge"), list(DOCUMENT), "left").withColumn("text", F.coalesce("text", F.lit(""))))
     whole = F.col("runs").isNull()
     removed = F.when(whole, 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
     digest = F.sha2(F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")), 256)

@@ -121,6 +121,23 @@ def duplicate_lines(text: str) -> int:
     return found
 
 
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
+
+
+def judge(text: str | None, ratios: np.ndarray, threshold: float) -> tuple:
+    """The columns of ``_COUNTS`` for one text."""
+    text = text or ""
+    words = words_of(text)
+    repeat = repeated_words(words)
+    failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
+    total = grams = 0
+    for cells in gram_cells(text):
+        total, grams = total + float(ratios[cells].sum()), grams + len(cells)
+    score = total / grams if grams else 0.0
+    chars = len(text) - sum(map(text.count, WORD_SPACE))
+    return len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat, failed, score, not failed and score >= threshold
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of ``docs``.
 
@@ -131,21 +148,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(ids, texts):
-        table = ratios.value
         for doc, text in zip(ids, texts, strict=True):
-            text = text or ""
-            words = words_of(text)
-            repeat = repeated_words(words)
-            failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-            total = grams = 0
-            for cells in gram_cells(text):
-                total, grams = total + float(table[cells].sum()), grams + len(cells)
-            score = total / grams if grams else 0.0
-            chars = len(text) - sum(map(text.count, WORD_SPACE))
-            yield doc, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat, failed, score, not failed and score >= threshold
-
-    schema = f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return arrow_pass(docs.select(id_col, text_col), work, schema)
+            yield doc, *judge(text, ratios.value, threshold)
+
+    return arrow_pass(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, {_COUNTS}")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``score_documents`` keeps, with all columns as they are.
+
+    Each row is judged by its own text where it lies, so nothing is joined back: rows with a null id and rows that repeat an
+    id stay or go like any other.
+    """
+    ratios = docs.sparkSession.sparkContext.broadcast(gram_ratios(docs, trusted_ids(labels), id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([judge(text, ratios.value, threshold)[-1] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
