@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shopledger.llm.common import read_table
-from shopledger.llm.jaccard_join import linked_documents
+from shopledger.llm.jaccard_join import without_near_duplicates
 from shopledger.llm.line_dedup import dedup_lines
 from shopledger.llm.packing import pack_documents
-from shopledger.llm.quality_rules import score_documents
+from shopledger.llm.quality_rules import kept_documents
 from shopledger.llm.substring_dedup import dedup_substrings
 from shopledger.session import through_table
 
@@ -23,9 +23,8 @@ LEAST_LINES = 1
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows with a null id are judged by nothing and go too."""
-    scored = score_documents(docs, read_table(spark, sf_dir, "labels"))
-    return docs.join(scored.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Documents that the quality rules reject go; each row is judged by its own text, whatever its id."""
+    return kept_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id become one."""
-    linked = linked_documents(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    later = linked.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id stays; rows that repeat id and text become one."""
+    return without_near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
