@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +12,14 @@ from ..constants import MERGE_KEYS
 from ..session import through_table
 from ..sources.files import load_period
 from ..sources.sinks import append_rows, rewrite_months, write_fact_period, write_table
+from ..sources.swap import finish, read_table
 from ..sources.validate import validate_columns
 from .star import build_dimensions, build_facts
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """A stored table as of its last commit, or None."""
+    return read_table(spark, path)
 
 
 def new_dimension_rows(stored: DataFrame, table: str, built: DataFrame) -> DataFrame:
@@ -36,6 +34,7 @@ def new_dimension_rows(stored: DataFrame, table: str, built: DataFrame) -> DataF
 
 def clear_bank_month(spark: SparkSession, path: str, period: str) -> None:
     """Drop the stored bank rows dated in a month, whichever files they came from. Month folders hold just these rows."""
+    finish(spark, path)
     if read_stored(spark, path) is not None:
         rewrite_months(spark, path, period, period, lambda rows: rows.filter(F.lit(False)))
 
@@ -54,6 +53,7 @@ def run_period(spark: SparkSession, raw_root: str, period: str, warehouse: str)
     paths, dims = {}, {}
     for table, built in build_dimensions(spark, cleaned).items():
         path = paths[table] = f"{warehouse.rstrip('/')}/{table}"
+        finish(spark, path)
         if read_stored(spark, path) is None:
             write_table(spark.createDataFrame([], built.schema), path)
         append_rows(new_dimension_rows(spark.read.parquet(path), table, built), path)

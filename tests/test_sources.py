@@ -9,7 +9,7 @@ from shopledger.plans.pipeline import load_star, run_period
 from shopledger.plans.product_cost import allocate
 from shopledger.session import shared_dir
 from shopledger.operators.cleaners import clean_product_catalog
-from shopledger.sources import bank_export, files, sinks, validate
+from shopledger.sources import bank_export, files, sinks, swap, validate
 from shopledger.streaming import ingest
 
 
@@ -178,6 +178,84 @@ def test_rewrite_reads_and_overwrites_one_path(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+@pytest.mark.parametrize("stop", ["before commit", 0, 1, 2, "after"])
+def test_a_stopped_rewrite_reads_as_old_or_new(spark, tmp_path, monkeypatch, stop):
+    """Months 1 to 3 lose their odd rows, month 2 all; month 4 is not touched. The driver stops at each step in turn."""
+    path = str(tmp_path / "fact_deposits")
+    days = [(20250100 + 100 * (i % 4) + 1 + i // 4, i) for i in range(40)]
+    rows = spark.createDataFrame(days, "deposit_date_key int, n int")
+    sinks.append_fact(rows, path, "fact_deposits")
+    read = lambda: sorted(r.n for r in swap.read_table(spark, path).collect())
+    old = list(range(40))
+    new = [n for n in old if n % 4 == 3 or (n % 4 != 1 and n % 2 == 0)]
+
+    class Stop(Exception):
+        pass
+
+    real_move, moved = swap._move, []
+
+    def move(*args):
+        if len(moved) == stop:
+            raise Stop
+        moved.append(args)
+        real_move(*args)
+
+    def no_commit(*args):
+        raise Stop
+
+    monkeypatch.setattr(swap, "_move", move)
+    if stop == "before commit":
+        monkeypatch.setattr(swap, "commit", no_commit)
+    try:
+        sinks.rewrite_months(spark, path, "2025-01", "2025-03", lambda r: r.filter("month <> 2 and n % 2 = 0"))
+    except Stop:
+        pass
+    assert read() == (old if stop == "before commit" else new)
+    monkeypatch.undo()
+    swap.finish(spark, path)
+    assert read() == (old if stop == "before commit" else new)
+    assert swap.pending(spark, path) is None
+    if stop == "after":
+        assert sorted(r.n for r in spark.read.parquet(path).collect()) == new
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_a_stopped_table_or_period_reads_whole(spark, tmp_path, monkeypatch, moves):
+    table, fact = str(tmp_path / "dim"), str(tmp_path / "fact_deposits")
+    sinks.write_table(spark.range(10), table)
+    rows = lambda n: spark.createDataFrame([(20250101 + i, i + 100 * n) for i in range(3)], "deposit_date_key int, n int")
+    for period in (1, 2):
+        sinks.write_fact_period(rows(period), fact, "fact_deposits", f"2025-0{period}")
+    real = swap._move
+    left = [moves, moves]
+
+    def move(spark_, source, target):
+        k = target != table
+        if not left[k]:
+            raise OSError("stopped")
+        left[k] -= 1
+        real(spark_, source, target)
+
+    monkeypatch.setattr(swap, "_move", move)
+    for work in (lambda: sinks.rewrite_table(spark.range(3), table), lambda: sinks.write_fact_period(rows(7), fact, "fact_deposits", "2025-02")):
+        try:
+            work()
+        except OSError:
+            pass
+    monkeypatch.undo()
+    for _ in range(2):
+        assert sorted(r.id for r in swap.read_table(spark, table).collect()) == [0, 1, 2]
+        assert sorted(r.n for r in swap.read_table(spark, fact).collect()) == [100, 101, 102, 700, 701, 702]
+        assert set(swap.read_table(spark, fact).columns) == {"deposit_date_key", "n", "period", "year", "month"}
+        swap.finish(spark, table)
+        swap.finish(spark, fact)
+    sinks.write_fact_period(rows(1).limit(0), fact, "fact_deposits", "2025-02")
+    assert sorted(r.n for r in swap.read_table(spark, fact).collect()) == [100, 101, 102]
+    swap.commit(spark, table, str(tmp_path / "x"), [""])
+    with pytest.raises(OSError, match="pending"):
+        swap.commit(spark, table, str(tmp_path / "y"), [""])
+
+
 def test_csv_export_quotes(spark, tmp_path):
     path = str(tmp_path / "c")
     sinks.export_csv(spark.createDataFrame([('a "b", c', None)], "x string, y string"), path)
