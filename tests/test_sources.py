@@ -161,6 +161,46 @@ def test_stream_reads_new_files_only(spark, tmp_path):
     assert {r.batch for r in run().select("batch").distinct().collect()} == {0, 1}
 
 
+def _rows(star):
+    """Every stored table as sorted rows, without load times and batch names."""
+    stamps = {"created_date", "updated_date", "created_timestamp", "updated_timestamp", "effective_date"}
+    return {t: sorted(map(repr, df.select(*sorted(set(df.columns) - stamps)).collect())) for t, df in star.items()}
+
+
+def test_streamed_files_give_the_star_of_the_batch_load(spark, tmp_path, monkeypatch):
+    raw, batch, streamed = tmp_path / "raw", str(tmp_path / "batch"), str(tmp_path / "streamed")
+    marks, ledger = str(tmp_path / "marks"), str(tmp_path / "ledger")
+    run = lambda: ingest.stream_star(spark, str(raw), streamed, marks, ledger)
+    make_period(raw, 1)
+    run_period(spark, str(raw), "2025-01", batch)
+    run()
+    assert _rows(load_star(spark, streamed)) == _rows(load_star(spark, batch))
+    make_period(raw, 2)
+    run_period(spark, str(raw), "2025-02", batch)
+    # the driver stops in the middle of the second batch: after some tables, before the ledger
+    real, calls = ingest.run_period, []
+
+    def stop(*args):
+        calls.append(args[2])
+        real(*args)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(ingest, "run_period", stop)
+    with pytest.raises(Exception, match="stopped"):
+        run()
+    monkeypatch.setattr(ingest, "run_period", real)
+    run()  # the same batch again
+    want = _rows(load_star(spark, batch))
+    assert calls == ["2025-02"] and _rows(load_star(spark, streamed)) == want
+    entries = spark.read.parquet(ledger)
+    assert sorted({(r.batch, r.period) for r in entries.collect()}) == [(0, "2025-01"), (1, "2025-02")] and entries.count() == 16
+    run()  # nothing new
+    files_of = entries.filter("batch = 1").drop("batch")
+    assert ingest.load_batch(spark, str(raw), files_of, 1, streamed, ledger) == []
+    assert ingest.load_batch(spark, str(raw), files_of, 2, streamed, ledger) == ["2025-02"]
+    assert _rows(load_star(spark, streamed)) == want
+
+
 def test_deletes(spark):
     days = build_dim_time(spark, "2025-01-01", "2025-12-31")
     fact = spark.createDataFrame([(1, 20250131, "6211", "N1"), (2, 20250201, "6211", "N2"), (3, None, None, None), (4, 20990101, "6211", "N1")], "bank_transaction_key long, transaction_date_key int, pl_account_number string, account_number string")
