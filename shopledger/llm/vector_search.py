@@ -5,14 +5,18 @@ segment of length n, the inner product is n * mean * mean' plus that of the resi
 deviations. Summed over segments this bounds the score from above (the distance from below). Few long segments are coarse
 and cheap, many short ones fine.
 
-Vectors and queries are packed into blocks. Each pair of blocks is one row of a join on the block numbers: within it a query
-takes its k best by the coarse bound, scores them exactly, and drops every vector whose bound is below the k-th of these
-scores; the finer bounds then thin the rest out, and only survivors are scored. The best k of each pair are ranked per query.
+Vectors are packed into blocks and read where they lie, once per batch of queries; a batch has a bounded size and is sent to
+every task with its statistics. A task walks through its blocks and holds, per query of the batch, the k-th best exact score
+so far: the floor. In a block the coarse bounds of all pairs are compared with the floors; pairs that stay are thinned out by
+the finer bounds, level by level, and scored exactly. What reaches the floor is emitted, and raises it. The emitted scores
+are ranked per query at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,17 @@ SCALE = 256
 EVERY = 50
 LEVELS = (4, 16, 32)
 BLOCK = 2048
+#: Queries of a batch: what is collected and sent to every task, 8 bytes a component and as much for the statistics.
+BATCH = 16_384
 QUERY_BLOCK = 1024
-#: Components are exact up to this size: their products stay far inside 64 bits.
-LARGEST = 2**26
+#: Sums of products up to this size are exact as doubles.
+EXACT = 2.0**53
+#: Scores are ranked up to this size; larger ones are ties.
+WIDEST = 10**38 - 1
 
 
 def pack_blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: int, size: int) -> DataFrame:
-    """(block, dim, n, ids, data): usable vectors as packed 64-bit integers, ``size`` at most in a block, numbered densely."""
+    """(dim, n, ids, data): usable vectors as packed doubles that are whole numbers, ``size`` at most in a block."""
     ship_package(vectors.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,21 +49,19 @@ def pack_blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: int, si
 
         def block(dim: int) -> pa.RecordBatch:
             ids, rows = waiting.pop(dim)
-            data = np.array(rows, np.int64)
+            data = np.array(rows, np.float64)
             return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()]), "data": pa.array([data.tobytes()])})
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key is None or not vector or None in vector:
                     continue
-                x = np.floor(np.array(vector, np.float64) * scale)
-                if not np.isfinite(x).all():
+                given = np.array(vector, np.float64)
+                if not np.isfinite(given).all():
                     continue
-                if np.abs(x).max() > LARGEST:
-                    raise ValueError(f"vector {key}: a component above {LARGEST} / {scale} cannot be scored exactly")
                 ids, rows = waiting.setdefault(len(vector), ([], []))
                 ids.append(key)
-                rows.append(x.astype(np.int64))
+                rows.append(np.floor(given * scale))
                 if len(ids) >= size:
                     yield block(len(vector))
         for dim in list(waiting):
@@ -77,66 +83,130 @@ def segment_features(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarr
     return np.stack(means, 1), np.stack(deviations, 1)
 
 
-def upper_bounds(q: np.ndarray, x: np.ndarray, segments: int) -> np.ndarray:
-    """Bound on every inner product of rows of ``q`` and ``x``, with room for rounding."""
-    qm, qd = segment_features(q, segments)
-    xm, xd = segment_features(x, segments)
-    found = qm @ xm.T + qd @ xd.T
-    return found + 1e-9 * (np.abs(qm) @ np.abs(xm).T + qd @ xd.T) + 1
-
-
-def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, score) of each query's best ``k`` in the block, by coarse-to-fine bounds and exact scores."""
-    bounds = upper_bounds(q, x, LEVELS[0])
-    own = q_ids[:, None] == ids[None, :]
-    bounds[own] = -np.inf
-    take = min(k + 1, x.shape[0])
-    probe = np.argpartition(-bounds, take - 1, axis=1)[:, :take]
-    probed = np.einsum("qd,qkd->qk", q, x[probe])
-    probed = np.where(np.take_along_axis(own, probe, 1), np.iinfo(np.int64).min, probed)
-    floor = -np.sort(-probed, axis=1)[:, min(k, take) - 1]  # k-th best score so far: nothing below can be among the best
-    if take < k:
-        floor = np.full(len(q), np.iinfo(np.int64).min)
-    alive = (bounds >= floor[:, None].astype(np.float64)) & ~own
-    for segments in LEVELS[1:]:
-        if segments >= x.shape[1] or not alive.any():
-            break
-        alive &= upper_bounds(q, x, segments) >= floor[:, None].astype(np.float64)
-    for i in range(len(q)):
-        left = np.flatnonzero(alive[i])
-        scores = x[left] @ q[i]
-        order = np.lexsort((ids[left], -scores))[:k]
-        for j in order:
-            yield int(q_ids[i]), int(ids[left[j]]), int(scores[j])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+class Block:
+    """Vectors with their statistics at every level: means and deviations side by side, so that one product bounds a score."""
+
+    def __init__(self, ids: bytes, data: bytes, dim: int):
+        self.ids, self.x = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
+        self.largest = float(np.abs(self.x).max(initial=0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.levels = [np.concatenate(segment_features(self.x, n), axis=1) for n in LEVELS if n < dim or n == LEVELS[0]]
+
+
+def _slack(q: np.ndarray, x: np.ndarray, dim: int) -> float:
+    """More than rounding can take from a bound: the sums have 2 * dim products at most."""
+    return 1e-12 * dim * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] + 1
+
+
+def exact_scores(q: Block, x: Block, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of pairs: doubles where they are exact, else Python integers."""
+    if q.largest * x.largest * q.x.shape[1] < EXACT:
+        return np.einsum("pd,pd->p", q.x[rows], x.x[columns])
+    whole = [[int(v) for v in r] for r in q.x], [[int(v) for v in r] for r in x.x]
+    return np.array([sum(a * b for a, b in zip(whole[0][i], whole[1][j], strict=True)) for i, j in zip(rows.tolist(), columns.tolist(), strict=True)], object)
+
+
+def surviving_pairs(q: Block, x: Block, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that no bound puts below the query's floor; each level is computed for the pairs left."""
+    dim = q.x.shape[1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounds = q.levels[0] @ x.levels[0].T + _slack(q.levels[0], x.levels[0], dim)
+        # not below: a bound that overflowed decides nothing
+        rows, columns = np.nonzero(~(bounds < floors[:, None]) & (q.ids[:, None] != x.ids[None, :]))
+        for q_level, x_level in zip(q.levels[1:], x.levels[1:], strict=True):
+            slack = _slack(q_level, x_level, dim)
+            stay = np.concatenate([~(np.einsum("pd,pd->p", q_level[r], x_level[c]) + slack < floors[r]) for r, c in _parts(rows, columns)] or [np.empty(0, bool)])
+            rows, columns = rows[stay], columns[stay]
+    return rows, columns
+
+
+def _parts(rows: np.ndarray, columns: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(rows), size):
+        yield rows[at : at + size], columns[at : at + size]
+
+
+class Search:
+    """The best ``k`` of one block of queries over the blocks that a task has seen."""
+
+    def __init__(self, queries: Block, k: int):
+        self.queries, self.k = queries, k
+        self.best: list[list] = [[] for _ in queries.ids]  # ascending scores, k at most
+        self.floors = np.full(len(queries.ids), -np.inf)
+
+    def seed(self, x: Block) -> None:
+        """Floors from one block: the best by the coarse bound are scored first."""
+        take = min(self.k + 1, len(x.ids))
+        with np.errstate(over="ignore", invalid="ignore"):
+            bounds = np.nan_to_num(self.queries.levels[0] @ x.levels[0].T, nan=np.inf)
+        bounds[self.queries.ids[:, None] == x.ids[None, :]] = -np.inf
+        probe = np.argpartition(-bounds, take - 1, axis=1)[:, :take]
+        rows, columns = np.repeat(np.arange(len(probe)), take), probe.ravel()
+        scores = np.concatenate([exact_scores(self.queries, x, r, c) for r, c in _parts(rows, columns)]).reshape(len(probe), take)
+        for i, (found, at) in enumerate(zip(scores.tolist(), probe.tolist(), strict=True)):
+            others = sorted(s for s, j in zip(found, at, strict=True) if self.queries.ids[i] != x.ids[j])
+            if len(others) >= self.k:  # a lower limit only: the block itself is searched next
+                self.floors[i] = max(self.floors[i], np.nextafter(float(others[-self.k]), -np.inf))
+
+    def add(self, x: Block) -> Iterator[tuple[int, int, int]]:
+        """(query, vector, score) of what may be among the best."""
+        if not np.isfinite(self.floors).all():
+            self.seed(x)
+        rows, columns = surviving_pairs(self.queries, x, self.floors)
+        if not len(rows):
+            return
+        scores = np.concatenate([exact_scores(self.queries, x, r, c) for r, c in _parts(rows, columns)])
+        order = np.lexsort((x.ids[columns], -scores, rows))
+        rows, columns, scores = rows[order], columns[order], scores[order]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        for at, upto in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            i, upto = int(rows[at]), min(upto, at + self.k)
+            for j, score in zip(columns[at:upto].tolist(), scores[at:upto].tolist(), strict=True):
+                yield int(self.queries.ids[i]), int(x.ids[j]), int(score)
+            self.best[i] = sorted([*self.best[i], *scores[at:upto].tolist()])[-self.k :]
+            if len(self.best[i]) == self.k:  # equal scores stay in: the smaller id wins
+                self.floors[i] = max(self.floors[i], np.nextafter(float(self.best[i][0]), -np.inf))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERY_BLOCK, batch: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` largest inner products, ties to the smaller id.
 
     Components are floor(scale * x). A vector that is null, empty, or has a null or non-finite component takes no part; nor do
     null ids. Vectors of another length are not candidates. A query is never its own candidate, also if its row is repeated;
-    a repeated candidate row is listed as often as it occurs. Other columns are not read.
+    a repeated candidate row is listed as often as it occurs. Components of any size are scored exactly; a score that does not
+    fit 64 bits keeps its rank and is given as null. Other columns are not read. An empty table gives no rows.
     """
-    data = through_table(_numbered(pack_blocks(vectors, id_col, vector_col, scale, block)), "vectors")
-    asks = through_table(_numbered(pack_blocks(queries.dropDuplicates([id_col]), id_col, vector_col, scale, query_block)), "queries")
-    # one long per block of vectors: a ten-thousandth of the data at most, so this side travels and the blocks stay
-    numbers = lambda df, name: F.broadcast(df.groupBy("dim").agg(F.collect_set("block").alias(name)))
-    left = asks.join(numbers(data, "others"), "dim").select("dim", F.col("block").alias("a"), F.explode("others").alias("b"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    right = data.join(numbers(asks, "others"), "dim").select("dim", F.explode("others").alias("a"), F.col("block").alias("b"), "ids", "data")
-    pairs = left.join(right, ["dim", "a", "b"]).select("dim", "q_ids", "q_data", "ids", "data")
-
-    def work(dims, q_ids, q_data, ids, data_):
-        for dim, qi, qd, xi, xd in zip(dims, q_ids, q_data, ids, data_, strict=True):
-            q, x = (np.frombuffer(d, np.int64).reshape(-1, dim) for d in (qd, xd))
-            yield from best_in_block(np.frombuffer(qi, np.int64), q, np.frombuffer(xi, np.int64), x, k)
-
-    found = arrow_pass(pairs, work, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    data = through_table(pack_blocks(vectors, id_col, vector_col, scale, block), "vectors")
+    asks = through_table(pack_blocks(queries.dropDuplicates([id_col]), id_col, vector_col, scale, query_block).withColumn("number", F.monotonically_increasing_id()), "queries")
+    sizes = asks.select("number", "n").orderBy("number").collect()  # a row per block of queries
+    batches, waiting = [], batch
+    for r in sizes:
+        if waiting + r["n"] > batch:
+            batches.append([])
+            waiting = 0
+        batches[-1].append(r["number"])
+        waiting += r["n"]
+    found = []
+    for numbers in batches:
+        sent = spark.sparkContext.broadcast([(r["dim"], r["ids"], r["data"]) for r in asks.filter(F.col("number").isin(numbers)).collect()])
+
+        def search(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            searches = [(dim, Search(Block(ids, data_, dim), k)) for dim, ids, data_ in sent.value]
+            for part in parts:
+                for dim, ids, data_ in zip(*(part.column(c).to_pylist() for c in ("dim", "ids", "data")), strict=True):
+                    x = Block(ids, data_, dim)
+                    rows = [r for d, one in searches if d == dim for r in one.add(x)]
+                    if rows:
+                        query, vector, score = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vector, pa.int64()), "score": pa.array([Decimal(s) if abs(s) < WIDEST else Decimal(WIDEST if s > 0 else -WIDEST) for s in score], pa.decimal128(38, 0))})
+
+        scored = data.select("dim", "ids", "data").mapInArrow(search, "query_id long, vec_id long, score decimal(38,0)")
+        found.append(through_table(scored, "scores"))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _numbered(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("block", F.monotonically_increasing_id())
+    ranked = reduce(DataFrame.union, found).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))
 
 
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

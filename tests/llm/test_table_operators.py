@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -123,6 +124,23 @@ def test_vector_search(spark):
     assert vector_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_of_large_components_and_many_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=40).tolist()) for i in range(300)]
+    rows += [(400, [2.0**40 + k for k in range(40)]), (401, [-(2.0**40)] * 40), (402, [1e17] * 40), (403, [1e300] * 40), (450, [3e16] * 40), (500, [0.0] * 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(x * 256) if abs(x) < 1e15 else int(x * 256) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        limit = 10**38 - 1  # larger ones are ties
+        scored = sorted((max(-limit, min(limit, s)), i) for s, i in scored)[:5]
+        want += [(q, k + 1, i, -s if -(2**63) <= -s < 2**63 else None) for k, (s, i) in enumerate(scored)]
+    got = vector_search.top_k(df, df.filter("vec_id % 50 = 0"), block=32, query_block=3, batch=4)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert any(r[3] is None for r in want)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/é b", "<p>one</p>"), (2, None, None), (3, "u", ""), (4, "http://c\r\nX: y", "<p>one</p>"), (5, "d", "\r\n\r\nWARC/1.0\r\n"), (9, "e", "<p>one</p>"), (None, "f", "<p>one</p>"), (6, "g", "é" * 70_000), (9, "e", "<p>one</p>")]
     pages = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, html string, payload_key string, n int").repartition(2)
