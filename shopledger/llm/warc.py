@@ -29,6 +29,8 @@ from ..session import scratch_path, through_table
 from .common import arrow_pass, read_table, ship_package
 
 RANGE_BYTES = 4 << 20
+#: Bytes that one task reads, about.
+TASK_BYTES = 16 << 20
 #: Payloads of at least so many bytes are written once.
 LEAST_BYTES = 0
 #: Up to so many repeated payloads travel to every task; more are joined by a shuffle.
@@ -137,6 +139,9 @@ def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES)
         .agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.array_sort(F.collect_list(F.struct("offset", "length", "page_id", "url"))).alias("records"))
         .select("file", "start", "end", "records")
     )
+    # a range is a small row that stands for a large read: tasks are dealt by the bytes to read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = ranges.repartition(max(1, -(-total // TASK_BYTES)), "file", "start")
 
     def read(files, starts, ends, groups):
         store, base = open_store(folder)
