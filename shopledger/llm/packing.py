@@ -5,62 +5,46 @@
 3. Best fit decreasing runs on the counts: a group of equal bins takes a piece length at once. The plan is a list of runs
    (length, first rank, count, first sequence, offset), again bounded by the capacity alone.
 4. Every piece gets its rank within its length and takes the slot of the run that holds the rank. Ranks are numbered inside
-   (length, salt) and shifted by the counts of the salts before, so that a length that many pieces share is no hot key.
+   (length, salt) and shifted by the counts of the salts before; a length gets a salt per so many pieces, so that one that
+   most pieces share is no hot key at any size.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import through_table
-from .common import PieceCache, arrow_pass, cut_at_spaces, encode_pieces, load_encoding, load_tokenizer, read_table, tokenizer_path
+from .common import arrow_pass, load_encoding, load_tokenizer, ranks_give_merges, read_table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-#: The same vocabulary as ranks, for the faster library; used for pieces of Latin letters and ASCII, where both agree.
+#: The same vocabulary as ranks, for the faster library; used after a proof that both encode every text alike.
 RANKS = "byte_bpe_50k.tiktoken"
-_LATIN = re.compile(r"[\x21-\x7e \n\u00c0-\u024f]*")
 CAPACITY = 1024
 END_ID = 2
-#: Salts per length when ranks are numbered; lengths x salts is the size of the table of shifts.
-SALTS = 64
-
-
-@lru_cache(maxsize=2)
-def _cache(path: str, ranks: str | None) -> PieceCache:
-    tokenizer = load_tokenizer(path)
-    twin = load_encoding(ranks) if ranks else None
-
-    def encode(parts: list[str]) -> list[bytes]:
-        latin = [p for p in parts if twin and _LATIN.fullmatch(p)]
-        found = dict(zip(latin, encode_pieces(twin, latin), strict=True)) if latin else {}
-        rest = [p for p in parts if p not in found]
-        for part, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[part] = np.array(e.ids, "<u4").tobytes()
-        return [found[p] for p in parts]
-
-    return PieceCache(encode)
+#: Pieces of one length that one task numbers, about: a length that more pieces share is dealt to several salts.
+SALT_PIECES = 500_000
 
 
 def encode_text(text: str, path: str, ranks: str | None = None) -> bytes:
-    """The library's ids without added tokens, packed; a special string inside the text is its default, one id."""
-    parts = None if "<|" in text else cut_at_spaces(text)
-    if parts is None:
-        return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    known = _cache(path, ranks)
-    known.learn(set(parts))
-    return b"".join(map(known.__getitem__, parts))
+    """The library's ids without added tokens, packed; a special string inside the text is its default, one id.
+
+    ``ranks`` is the rank form of the same vocabulary, given where it is proven to encode alike.
+    """
+    if ranks and "<|" not in text:
+        return np.array(load_encoding(ranks).encode_ordinary(text), "<u4").tobytes()
+    return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): whole documents, or pieces of ``capacity`` of longer ones, remainder first."""
     kind = docs.schema[id_col].dataType.simpleString()
-    ranks = tokenizer_path(RANKS) if vocabulary == tokenizer_path(VOCABULARY) else None
+    ranks = tokenizer_path(RANKS)
+    if vocabulary != tokenizer_path(VOCABULARY) or not ranks_give_merges(vocabulary, ranks):
+        ranks = None
     end = np.array([end_id], "<u4").tobytes()
 
     def work(ids_, texts):
@@ -105,12 +89,14 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def assign_slots(pieces: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (id, piece, length, ...) with sequence_id and offset. ``pieces`` is read twice: pass a stored table."""
+def assign_slots(pieces: DataFrame, capacity: int, salt_pieces: int = SALT_PIECES) -> DataFrame:
+    """``pieces`` (id, piece, length, ...) with sequence_id and offset. ``pieces`` is read three times: pass a stored table."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    lengths = pieces.groupBy("length").count()  # at most capacity rows
+    salts = F.broadcast(lengths.select("length", F.ceil(F.col("count") / salt_pieces).alias("salts")))
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), "salts").cast("int")).drop("salts")
     cells = salted.groupBy("length", "salt").count()
-    cells = cells.collect()  # at most capacity x salts rows
+    cells = cells.collect()  # a row per length, and one per salt_pieces pieces
     shifts, counts = [], {}
     for length, salt, n in sorted((c["length"], c["salt"], c["count"]) for c in cells):
         shifts.append((length, salt, counts.get(length, 0)))
@@ -126,7 +112,7 @@ def assign_slots(pieces: DataFrame, capacity: int, salts: int = SALTS) -> DataFr
         low, high = shift, shift + size[length, salt]
         table.append((length, salt, shift, [r for r in by_length[length] if r[0] < high and r[1] > low]))
     schema = "length long, salt int, shift long, runs array<struct<low:long,high:long,first:long,offset:long>>"
-    slots = F.broadcast(spark.createDataFrame(table, schema))  # bounded by capacity and salts
+    slots = spark.createDataFrame(table, schema)  # as many rows as cells: the planner broadcasts it while it is small
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")))
     placed = ranked.join(slots, ["length", "salt"]).withColumn("rank", F.col("shift") + F.col("rank") - 1)
     run = F.filter("runs", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"]))[0]
