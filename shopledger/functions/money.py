@@ -9,6 +9,20 @@ from ..constants import MONEY_SYMBOLS, NULL_WORDS, VND_PER_USD
 from .text import MONEY, as_col, strip
 
 AMOUNT = "decimal(20,4)"
+# A number that can be read; whether it fits a type is another question.
+_NUMBER = r"^[-+]?\d+(\.\d*)?$"
+
+
+def out_of_range(text: Column, value: Column) -> Column:
+    """True where ``text`` is a readable number and ``value``, what it was cast to, is null: the number does not fit."""
+    return value.isNull() & F.coalesce(strip(text.cast("string")).rlike(_NUMBER), F.lit(False))
+
+
+def fitting(c: Column, kind=MONEY) -> Column:
+    """``c`` as ``kind``. Text that is no number gives null; a number that does not fit ends the job and is not lost."""
+    text, value = c.cast("string"), c.try_cast(kind)
+    error = F.raise_error(F.concat(F.lit("amount out of range: "), text)).cast(kind)
+    return F.coalesce(value, F.when(out_of_range(text, value), error))
 
 
 def _amount_text(c: Column) -> Column:
@@ -17,11 +31,14 @@ def _amount_text(c: Column) -> Column:
 
 
 def parse_currency(c: Column | str) -> Column:
-    """Money text -> decimal(20,4). Blank and null give 0; text around a number is ignored; no number gives 0."""
+    """Money text -> decimal(20,4). Blank and null give 0; text around a number is ignored; no number gives 0.
+
+    A number that does not fit is an error, never 0.
+    """
     text = strip(as_col(c).cast("string"))
     bare = _amount_text(text)
-    first_number = F.regexp_extract(bare, r"-?\d+(\.\d+)?", 0).try_cast(AMOUNT)
-    value = F.coalesce(bare.try_cast(AMOUNT), first_number, F.lit(0).cast(AMOUNT))
+    first_number = F.regexp_extract(bare, r"-?\d+(\.\d+)?", 0)
+    value = F.coalesce(bare.try_cast(AMOUNT), F.when(first_number == "", F.lit(0).cast(AMOUNT)).otherwise(fitting(first_number, AMOUNT)))
     return F.when(F.lower(text).isin("", "--", *NULL_WORDS) | text.isNull(), F.lit(0).cast(AMOUNT)).otherwise(value)
 
 
@@ -31,8 +48,8 @@ def clean_statement_currency(c: Column | str) -> Column:
 
 
 def statement_amount(c: Column | str) -> Column:
-    """Statement money text -> decimal(20,4); null and unreadable text give null."""
-    return clean_statement_currency(c).try_cast(AMOUNT)
+    """Statement money text -> decimal(20,4); null and unreadable text give null, a number that does not fit is an error."""
+    return fitting(clean_statement_currency(c), AMOUNT)
 
 
 def to_usd(c: Column | str, scale: int = 1) -> Column:

@@ -22,9 +22,10 @@ from ..constants import (
 from ..functions.bank import PARSED_FIELDS, parse_bank_description
 from ..functions.dates import day_first_date, parse_date
 from ..functions.listing import VARIATION_FIELDS, clean_description, extract_variations, parse_listing_description
-from ..functions.money import is_vnd, parse_currency, statement_amount, to_usd, usd_currency, vnd_to_usd
+from ..functions.money import is_vnd, out_of_range, parse_currency, statement_amount, to_usd, usd_currency, vnd_to_usd
 from ..functions.statement import categorize_fee_type, categorize_revenue_type, extract_id_from_info
 from ..functions.text import (
+    MONEY,
     WHITESPACE,
     as_col,
     clean_text,
@@ -35,6 +36,7 @@ from ..functions.text import (
     squash,
     strip,
 )
+from ..session import through_table
 from .keys import keep_first, row_order
 
 # raw columns that hold money, dates or text to tidy, per dataset
@@ -192,7 +194,7 @@ def _rename_bank(raw: DataFrame) -> DataFrame:
 
 
 def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFrame:
-    """Bank rows under their standard names, typed, with parsed ids; rows without an account number are kept."""
+    """Bank rows under their standard names, typed, with parsed ids, and ``__rejection``: why a row cannot be stored, or ""."""
     df = null_tokens(_rename_bank(raw))
     text = ("reference_number", "account_number", "account_name", "transaction_description")
     dates = ("transaction_date", "opening_date")
@@ -205,24 +207,38 @@ def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFr
         "account_name": F.coalesce(clean_text("account_name"), account),
     }
     changes |= {c: day_first_date(c) for c in dates}
-    changes |= {
-        c: F.translate(as_col(c), "," + WHITESPACE, "").try_cast("decimal(15,2)") for c in money
-    }
+    amounts = {c: F.translate(as_col(c), "," + WHITESPACE, "") for c in money}
+    changes |= {c: text.try_cast(MONEY) for c, text in amounts.items()}
+    too_large = [F.when(out_of_range(text, changes[c]), F.lit(f"{c} out of range")) for c, text in amounts.items()]
+    changes["__rejection"] = F.concat_ws("; ", F.when(account.isNull(), F.lit("missing account_number")), *too_large)
     changes["__parsed"] = parse_bank_description("transaction_description", first_token_fallback)
     out = _apply(df, changes)
     out = out.select(*[c for c in out.columns if c != "__parsed"], *[F.col("__parsed")[f].alias(f) for f in PARSED_FIELDS])
     return out.withColumn("is_business_related", F.col("parsed_product_line_id").isNotNull())
 
 
+def _accepted(bank: DataFrame) -> DataFrame:
+    return bank.filter(F.col("__rejection") == "").drop("__rejection")
+
+
+def _rejected(bank: DataFrame) -> DataFrame:
+    return bank.filter(F.col("__rejection") != "").withColumnRenamed("__rejection", "message")
+
+
 def clean_bank_transactions(raw: DataFrame, first_token_fallback: bool = False) -> DataFrame:
-    """Bank rows that name an account."""
-    return normalize_bank(raw, first_token_fallback).filter(F.col("account_number").isNotNull())
+    """Bank rows that name an account and whose amounts fit."""
+    return _accepted(normalize_bank(raw, first_token_fallback))
 
 
 def rejected_bank_rows(raw: DataFrame) -> DataFrame:
-    """Bank rows without an account number, with a message."""
-    rejected = normalize_bank(raw).filter(F.col("account_number").isNull())
-    return rejected.withColumn("message", F.lit("missing account_number"))
+    """Bank rows without an account number or with an amount that does not fit, with a message; such an amount is null."""
+    return _rejected(normalize_bank(raw))
+
+
+def split_bank_rows(raw: DataFrame, first_token_fallback: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected bank rows. The rows are read and typed once, written, and both parts filter what was written."""
+    rows = through_table(normalize_bank(raw, first_token_fallback), "bank-rows")
+    return _accepted(rows), _rejected(rows)
 
 
 def bank_parse_stats(bank: DataFrame) -> DataFrame:

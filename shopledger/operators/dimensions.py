@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import CALENDAR_END, CALENDAR_START, CATALOG_KEY, CATALOG_NAMES, HOME_COUNTRY, INPUT_POSITION, OPEN_END
 from ..functions.dates import date_key, day_first_date
 from ..functions.lookups import country_columns, is_peak_season, retail_season, selling_season
+from ..functions.money import fitting
 from ..functions.text import MONEY, as_col, clean_text, parse_list, sku_to_list, snake_name, strip, whole_number
 from .keys import assign_keys, first_row, keep_first, position, row_order
 
@@ -166,7 +167,7 @@ def build_dim_order(orders: DataFrame, checkout: DataFrame | None) -> DataFrame:
         paid = checkout.select(whole_number("order_id").alias("order_id")).distinct()
         mine = mine.join(paid, "order_id", "full_outer")
     mine = mine.filter(F.col("order_id").isNotNull())
-    money = {c: F.col(c).try_cast(MONEY) for c in ORDER_MONEY}
+    money = {c: fitting(F.col(c)) for c in ORDER_MONEY}
     coupon = F.col("coupon_code")
     derived = {
         "number_of_items": F.col("number_of_items").try_cast("int"),
@@ -299,7 +300,7 @@ def build_dim_product(listing: DataFrame | None, items: DataFrame | None) -> Dat
         "listing_id",
         clean_text(F.coalesce("title", "item_name")).alias("title"),
         clean_text("description").alias("description"),
-        F.coalesce(F.regexp_replace("price", ",", "").try_cast(MONEY), F.col("item_price")).alias("price"),
+        F.coalesce(fitting(F.regexp_replace("price", ",", "")), F.col("item_price")).alias("price"),
         F.coalesce("currency_code", F.lit("USD")).alias("currency_code"),
         F.coalesce(F.col("quantity").try_cast("int"), F.col("item_quantity")).alias("quantity"),
         *[null_text().alias(c) for c in ("category", "subcategory", "product_type")],

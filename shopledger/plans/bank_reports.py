@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col
 from ..operators.filters import date_filter, valid_date
+from ..session import through_table
 
 CENTS = "decimal(20,2)"
 
@@ -22,14 +23,67 @@ def _has_number() -> Column:
     return F.col("account_number").isNotNull() & (F.col("account_number") != "")
 
 
-def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
-    if offset:
-        df = df.offset(offset)
-    return df if limit is None else df.limit(limit)
+#: A sort: (column, descending) each. Nulls come last ascending and first descending, as the largest value.
+Order = Sequence[tuple[str, bool]]
+
+
+def sort_columns(order: Order) -> list[Column]:
+    return [F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_last() for c, down in order]
+
+
+def after_row(order: Order, last: Sequence) -> Column:
+    """True for rows that sort behind the one with the values ``last``: the seek predicate of the next page."""
+    behind, equal = F.lit(False), F.lit(True)
+    for (name, down), value in zip(order, last, strict=True):
+        c = F.col(name)
+        if value is None:
+            beyond = c.isNotNull() if down else F.lit(False)
+        else:
+            beyond = F.coalesce(c < F.lit(value), F.lit(False)) if down else c.isNull() | (c > F.lit(value))
+        behind = behind | (equal & beyond)
+        equal = equal & c.eqNullSafe(F.lit(value))
+    return behind
 
 
-def bank_account_summary(bank, accounts, dim_time, limit: int | None = 100, offset: int = 0) -> DataFrame:
-    """Per account: transactions, credit, debit, largest balance, first and last date; by credit descending."""
+def page(rows: DataFrame, order: Order, limit: int | None, offset: int = 0, after: Sequence | None = None) -> DataFrame:
+    """``limit`` rows of ``rows`` in an order that ends in a key: from the start, behind the row ``after``, or at ``offset``.
+
+    A page from the start or behind a row is a top-n of each task. A page at an offset is found by the sort columns alone: they
+    are dealt by range and written, a count per range tells which ranges hold the page, and only these are numbered; the rows
+    themselves are then looked up by their sort columns. No task sees more than its range, and no range before the page is sorted.
+    """
+    if after is not None:
+        rows = rows.filter(after_row(order, after))
+    if offset:
+        spark, names = rows.sparkSession, [c for c, _ in order]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = rows.select(*names).repartitionByRange(parts, *sort_columns(order)).withColumn("__part", F.spark_partition_id())
+        keys = through_table(keys, "page-keys")
+        chosen, before = [], 0
+        for part, n in sorted(tuple(r) for r in keys.groupBy("__part").count().collect()):  # a row per range
+            if before + n > offset and (limit is None or before < offset + limit):
+                chosen.append((part, before))
+            before += n
+        starts = spark.createDataFrame(chosen, "__part int, __before bigint")
+        number = F.row_number().over(Window.partitionBy("__part").orderBy(*sort_columns(order))) + F.col("__before")
+        wanted = F.col("__number") > offset
+        if limit is not None:
+            wanted = wanted & (F.col("__number") <= offset + limit)
+        found = keys.join(starts, "__part").withColumn("__number", number).filter(wanted).select(*[F.col(c).alias(f"__{c}") for c in names])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+        return rows.join(found, same, "left_semi").orderBy(*sort_columns(order))
+    rows = rows.orderBy(*sort_columns(order))
+    return rows if limit is None else rows.limit(limit)
+
+
+def bank_account_summary(bank, accounts, dim_time, limit: int | None = 100, offset: int = 0, latest: bool = False) -> DataFrame:
+    """Per account: transactions, credit, debit, largest balance, first and last date; by credit descending.
+
+    With ``latest`` also the balance after the last row by date and key, which is what the account holds.
+    """
+    last = F.struct("full_date", "bank_transaction_key")
+    known = F.col("balance_after_transaction").isNotNull()
+    balance = [F.max_by("balance_after_transaction", F.when(known, last)).cast(CENTS).alias("latest_balance")] if latest else []
     stats = (
         date_filter(bank, dim_time, "transaction_date_key", attributes=["full_date"])
         .groupBy("bank_account_key")
@@ -40,13 +94,15 @@ def bank_account_summary(bank, accounts, dim_time, limit: int | None = 100, offs
             F.max("balance_after_transaction").cast(CENTS).alias("current_balance"),
             F.min("full_date").alias("first_transaction_date"),
             F.max("full_date").alias("last_transaction_date"),
+            *balance,
         )
     )
     attributes = ["account_number", "account_name", "cif_number", "customer_address", "opening_date", "currency_code"]
     named = accounts.filter(_has_number()).select("bank_account_key", *attributes)
-    out = stats.join(named, "bank_account_key").orderBy(F.col("total_credit").desc(), "account_number")
+    out = stats.join(named, "bank_account_key")
     columns = [c for c in stats.columns if c != "bank_account_key"]
-    return page(out.select(*attributes, *columns), limit, offset)
+    cut = page(out.select(*attributes, *columns, "bank_account_key"), [("total_credit", True), ("account_number", False), ("bank_account_key", False)], limit, offset)
+    return cut.drop("bank_account_key")
 
 
 def bank_account_count(accounts) -> DataFrame:
@@ -99,10 +155,6 @@ def any_contains(columns: Sequence[str], text: str) -> Column:
     return _any([F.lower(as_col(c).cast("string")).contains(text.lower()) for c in columns])
 
 
-def _sort(column: Column, order: str) -> Column:
-    return column.desc_nulls_first() if order.lower() == "desc" else column.asc_nulls_last()
-
-
 CATALOG_SEARCH = (
     "product_line_id",
     "product_id",
@@ -120,15 +172,21 @@ def search_catalog(catalog, search: str | None = None) -> DataFrame:
 
 
 def browse_catalog(
-    catalog, search=None, sort_by=None, sort_order="asc", limit: int | None = 100, offset: int = 0
+    catalog, search=None, sort_by=None, sort_order="asc", limit: int | None = 100, offset: int = 0, after: Sequence | None = None
 ) -> DataFrame:
-    """One page of the catalog. An unknown sort column is ignored."""
+    """One page of the catalog. An unknown sort column is ignored. ``after``: the sort values of the last row seen."""
     rows = search_catalog(catalog, search)
-    order = [F.col("product_catalog_key")]
-    if sort_by in CATALOG_COLUMNS:
-        order.insert(0, _sort(F.col(sort_by), sort_order))
     present = [c for c in CATALOG_COLUMNS if c in rows.columns]
-    return page(rows.select(*present).orderBy(*order), limit, offset)
+    return page(rows.select(*present), catalog_order(sort_by, sort_order), limit, offset, after)
+
+
+def catalog_order(sort_by=None, sort_order="asc") -> Order:
+    order = [("product_catalog_key", False)]
+    if sort_by in CATALOG_COLUMNS and sort_by != "product_catalog_key":
+        order.insert(0, (sort_by, sort_order.lower() == "desc"))
+    elif sort_by == "product_catalog_key":
+        order = [(sort_by, sort_order.lower() == "desc")]
+    return order
 
 
 def catalog_count(catalog, search=None) -> DataFrame:
@@ -165,6 +223,13 @@ def bank_transaction_count(bank, search=None, account_number=None) -> DataFrame:
     return search_bank(bank, search, account_number).agg(F.count("*").alias("total"))
 
 
+def bank_order(sort_by=None, sort_order="desc") -> Order:
+    """By a known column and the key, else the newest first."""
+    if sort_by in BANK_SORT:
+        return [(sort_by, sort_order.lower() == "desc"), ("bank_transaction_key", False)]
+    return [("transaction_date", True), ("bank_transaction_key", True)]
+
+
 def browse_bank_transactions(
     bank,
     accounts,
@@ -176,20 +241,19 @@ def browse_bank_transactions(
     sort_order="desc",
     limit: int | None = 100,
     offset: int = 0,
+    after: Sequence | None = None,
 ) -> DataFrame:
     """One page of bank rows with date, account name and product names (by catalog key, else by the parsed ids).
 
+    ``after``: the values that the last row seen has in the columns of ``bank_order``; the page starts behind it.
+
     The lookups have one row per key and do not change the row count, so the page is cut before them: they are joined to
     ``limit`` rows, not to the fact. Without a limit all rows are joined.
     """
     rows = date_filter(search_bank(bank, search, account_number), dim_time, "transaction_date_key", attributes=["full_date"], how="left")
     rows = rows.withColumnRenamed("full_date", "transaction_date")
-    key = F.col("bank_transaction_key")
-    if sort_by in BANK_SORT:
-        order = [_sort(F.col(sort_by), sort_order), key]
-    else:
-        order = [_sort(F.col("transaction_date"), "desc"), key.desc()]
-    cut = page(rows.orderBy(*order), limit, offset)
+    order = bank_order(sort_by, sort_order)
+    cut = page(rows, order, limit, offset, after)
     by_key = catalog.select("product_catalog_key", *[F.col(c).alias(f"key_{c}") for c in NAMES])
     by_ids = catalog.select(
         *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
@@ -201,7 +265,7 @@ def browse_bank_transactions(
         .join(by_ids, list(PARSED), "left")
     )
     # sorted before null amounts read 0: they sort as nulls
-    return out.orderBy(*order).select(
+    return out.orderBy(*sort_columns(order)).select(
         "bank_transaction_key",
         "transaction_date",
         "reference_number",

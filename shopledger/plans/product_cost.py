@@ -25,6 +25,8 @@ PERCENT = "decimal(28,4)"
 _WHOLE = "decimal(38,0)"
 # order ids collected at once; longer lists are sorted in parts of about this size
 ORDER_IDS_PER_PART = 10_000
+# parts of a longer list, of about equal size
+ORDER_ID_PARTS = 64
 
 
 def _zero(kind: str) -> Column:
@@ -125,10 +127,24 @@ def sales_by_sku(sales: DataFrame, per_part: int = ORDER_IDS_PER_PART) -> DataFr
     return _with_order_ids(totals, pos, per_part)
 
 
+def _ordered_id_parts(pos: DataFrame, per_part: int) -> DataFrame:
+    """(product_id, part, ids): order ids of each product as ascending arrays; all ids of a part are below those of the next.
+
+    A product with more than ``per_part`` ids is cut at quantiles of its own ids, which come from a sketch per product.
+    """
+    ids = pos.select("product_id", "order_id").filter(F.col("order_id").isNotNull())
+    large = ids.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > per_part).select("product_id")
+    fractions = F.array(*[F.lit(k / ORDER_ID_PARTS) for k in range(1, ORDER_ID_PARTS)])
+    edges = ids.join(large, "product_id").groupBy("product_id").agg(F.percentile_approx("order_id", fractions).alias("edges"))
+    below = F.size(F.filter("edges", lambda e: e < F.col("order_id")))
+    cut = ids.join(edges, "product_id", "left").withColumn("part", F.when(F.col("edges").isNull(), 0).otherwise(below))
+    return cut.groupBy("product_id", "part").agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
+
+
 def _with_order_ids(totals: DataFrame, pos: DataFrame, per_part: int) -> DataFrame:
-    # parts first, so that a hot product reaches its one row as a few sorted arrays
-    parts = _order_id_parts(pos, per_part).groupBy("product_id").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    listed = parts.select("product_id", _id_text(F.sort_array("ids")).alias("order_ids"))
+    # a hot product reaches its one row as a few sorted arrays that only have to be put in order
+    parts = _ordered_id_parts(pos, per_part).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("part", _id_text(F.col("ids")).alias("text")))).alias("parts"))
+    listed = parts.select("product_id", F.array_join(F.transform("parts", lambda p: p["text"]), ", ").alias("order_ids"))
     joined = totals.join(listed, "product_id", "left")
     empty = F.when(F.coalesce("order_count", F.lit(0)) == 0, F.lit(""))
     return joined.withColumn("order_ids", F.coalesce("order_ids", empty))

@@ -630,6 +630,18 @@ _TEXT_COLUMNS = {"Order__ID": "s", "Sale__Date": "s", "Order__Value": "s", "Note
 add("scan_csv", _TEXT, **_TEXT_COLUMNS)
 add("bank_export_layouts", f"""SELECT o_orderkey AS ref, 'say "' || o_orderpriority || '",' || chr(10) || 'line two' AS description, {cents('o_totalprice')} AS amount, CASE WHEN o_orderstatus = 'O' THEN 'x' || o_orderkey END AS filler FROM orders""",
     ref="i", description="s", amount="m", filler="s")
+add("bank_account_latest_balance", f"""WITH {BANK} SELECT account_number, max(balance_c) AS current_balance, arg_max(balance_c, (tx_date, bank_key)) AS latest_balance, max(tx_date) AS last_transaction_date FROM bank GROUP BY 1""",
+    account_number="s", current_balance="m", latest_balance="m", last_transaction_date="d")
+add("bank_rows_by_seek", f"""WITH {BANK} SELECT bank_key AS bank_transaction_key, tx_date AS transaction_date, s_name AS account_name, coalesce(debit_c, 0) AS debit_amount FROM bank JOIN supplier ON l_suppkey = s_suppkey
+  ORDER BY debit_c ASC NULLS LAST, bank_key LIMIT 250 OFFSET 500""", bank_transaction_key="i", transaction_date="d", account_name="s", debit_amount="m")
+add("approximate_counts", f"WITH {SALES}, {LIFE}, inside AS (SELECT * FROM sales JOIN life USING (customer_key) WHERE {in_range('sale_date')}) " + " UNION ALL ".join(
+    f"SELECT '{kind}' AS customer_type, count(DISTINCT order_key) AS orders, count(DISTINCT customer_key) AS customers, true AS orders_close, true AS customers_close FROM inside WHERE {test}"
+    for kind, test in (("all", "true"), ("new", "n = 1"), ("return", "n > 1"))), customer_type="s", orders="i", customers="i", orders_close="b", customers_close="b")
+add("rejected_amounts", """SELECT CASE l_suppkey % 10 WHEN 9 THEN 'missing account_number' WHEN 3 THEN 'credit_amount out of range' WHEN 8 THEN 'credit_amount out of range' ELSE 'accepted' END AS message,
+  count(*) AS row_count FROM lineitem GROUP BY 1""", message="s", row_count="i")
+add("versioned_customers", """WITH o AS (SELECT o_orderkey, c_mktsegment AS s, CAST(o_orderdate AS DATE) >= DATE '1997-06-01' AS later, c_custkey % 3 = 0 AS moves, c_custkey % 10 = 0 AS fresh FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT o_orderkey, CASE WHEN fresh AND NOT later THEN NULL WHEN moves AND later THEN 'MOVED' ELSE s END AS segment, CASE WHEN fresh AND NOT later THEN NULL WHEN moves THEN later ELSE true END AS is_current,
+    CASE WHEN moves AND NOT fresh THEN 2 ELSE 1 END AS versions FROM o""", o_orderkey="i", segment="s", is_current="b", versions="i")
 add("first_rows", """SELECT 'product' AS kind, CAST(p_partkey AS VARCHAR) AS id, 'zz ' || p_name AS name FROM part UNION ALL SELECT 'catalog', 'MG' || p_partkey, 'zz ' || p_name FROM part
   UNION ALL SELECT k, 'S' || s_suppkey, 'zz ' || s_name FROM supplier, (VALUES ('account'), ('feed')) v(k)""", kind="s", id="s", name="s")
 add("load_period", f"SELECT 'sold_orders' AS dataset, {_N['orders']} AS row_count UNION ALL SELECT 'deposits', {_N['orders']}", dataset="s", row_count="i")

@@ -23,6 +23,7 @@ from ..operators import dimensions as D
 from ..operators import facts as FB
 from ..operators import filters as FL
 from ..operators import merge as M
+from ..operators import versions as V
 from ..operators.keys import assign_keys
 from ..plans import bank_reports as B
 from ..plans import kpi
@@ -134,6 +135,22 @@ def cac_ltv_by_month(spark, sf):
     return kpi.cac_ltv_by_month(A.sales(spark, sf), A.financial(spark, sf), A.dim_time(spark))
 
 
+@query
+def approximate_counts(spark, sf):
+    """Exact orders and customers per class of a range, and whether the estimates from daily sketches are within 5 percent."""
+    sales, days = A.sales(spark, sf), A.dim_time(spark)
+    sketches = through_table(kpi.daily_sketches(sales, days), "sketches")
+
+    def both(kind):
+        exact = kpi.total_orders(sales, days, *RANGE, kind), kpi.total_customers(sales, days, *RANGE, kind)
+        estimate = kpi.approximate_counts(sketches, *RANGE, kind).select(F.struct("*").alias("e")).scalar()
+        row = spark.range(1).select(F.lit(kind).alias("customer_type"), exact[0].scalar().alias("orders"), exact[1].scalar().alias("customers"), estimate.alias("e"))
+        close = [(F.abs(F.col(f"e.total_{c}") - F.col(c)) <= 0.05 * F.col(c) + 1).alias(f"{c}_close") for c in ("orders", "customers")]
+        return row.select("customer_type", "orders", "customers", *close)
+
+    return both("all").union(both("new")).union(both("return"))
+
+
 @query
 def month_aggregates(spark, sf):
     return kpi.month_aggregates(A.sales(spark, sf), A.payments(spark, sf), A.dim_time(spark), "1995-01-01", "2001-12-31")
@@ -300,6 +317,24 @@ def bank_account_page(spark, sf):
     return B.bank_account_summary(A.bank(spark, sf), A.accounts(spark, sf), A.dim_time(spark), limit=5, offset=3)
 
 
+@query
+def bank_account_latest_balance(spark, sf):
+    """The balance after the last row of each account, beside the largest one."""
+    rows = B.bank_account_summary(A.bank(spark, sf), A.accounts(spark, sf), A.dim_time(spark), None, latest=True)
+    return rows.select("account_number", "current_balance", "latest_balance", "last_transaction_date")
+
+
+@query
+def bank_rows_by_seek(spark, sf):
+    """The third page of bank rows by debit, found behind the last row of the second one, which was found at its offset."""
+    args = (A.bank(spark, sf, texts=True), A.accounts(spark, sf), A.dim_product_catalog(spark, sf), A.dim_time(spark))
+    kind = dict(sort_by="debit_amount", sort_order="asc", limit=250)
+    rows = A.bank(spark, sf)
+    order = B.bank_order("debit_amount", "asc")
+    last = B.page(rows, order, 250, offset=250).select(*[c for c, _ in order]).collect()[-1]
+    return B.browse_bank_transactions(*args, **kind, after=list(last)).select("bank_transaction_key", "transaction_date", "account_name", "debit_amount")
+
+
 @query
 def bank_account_count(spark, sf):
     return B.bank_account_count(A.accounts(spark, sf))
@@ -552,6 +587,17 @@ def rejected_bank_rows(spark, sf):
     return C.rejected_bank_rows(A.raw_bank(spark, sf)).select("reference_number", "balance_after_transaction", "message")
 
 
+@query
+def rejected_amounts(spark, sf):
+    """Reasons of rejected bank rows where every fifth supplier states amounts beyond the type; accepted rows beside them."""
+    raw, credit = A.raw_bank(spark, sf), A.BANK_RAW_HEADERS[5]
+    large = F.col(f"`{A.BANK_RAW_HEADERS[2]}`").rlike("[38] *$")
+    raw = raw.withColumn(credit, F.when(large, "99,999,999,999,999.5").otherwise(F.col(f"`{credit}`")))
+    accepted, rejected = C.split_bank_rows(raw)
+    count = F.count("*").alias("row_count")
+    return rejected.groupBy("message").agg(count).union(accepted.agg(F.lit("accepted").alias("message"), count))
+
+
 @query
 def bank_parse_stats(spark, sf):
     raw = A.raw_bank(spark, sf).withColumn(
@@ -1065,6 +1111,23 @@ def remap_keys(spark, sf):
     return M.remap_keys(fact, "customer_key", mapping)
 
 
+@query
+def versioned_customers(spark, sf):
+    """Two loads of customers; a third of the segments change in between, a tenth of the customers come later. Each order
+    finds the segment of its day. Loading the second state twice changes nothing."""
+    rows = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    before = rows.filter("o_custkey % 10 <> 0")
+    after = rows.withColumn("segment", F.when(F.col("o_custkey") % 3 == 0, F.lit("MOVED")).otherwise(F.col("segment")))
+    names = ("o_custkey", "version_key", ["segment"])
+    versions = through_table(V.first_versions(before, *names), "versions")
+    for _ in range(2):
+        versions = through_table(V.merge_versions(versions, after, *names, "1997-06-01"), "versions")
+    orders = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", A.day("o_orderdate").alias("order_date"))
+    found = V.version_of(orders, versions, "o_custkey", "order_date", ["version_key", "segment", "is_current"])
+    counted = versions.groupBy("o_custkey").agg(F.count("*").alias("versions"))
+    return found.join(counted, "o_custkey").select("o_orderkey", "segment", "is_current", "versions")
+
+
 def _days(spark, sf, name, column):
     days = A.table(spark, sf, name).select(A.day(column).alias("day")).distinct()
     columns = D.calendar_columns(F.col("day"), F.lit(dt.date(1998, 6, 17)))

@@ -183,3 +183,38 @@ def test_catalog_first_row_by_input_order(spark):
     raw = spark.createDataFrame([("L", "n", "P", "z", "1", "v", 1), ("L", "n", "P", "a", "1", "v", 2)], ["Product Line ID", "Product line", "Product ID", "Product", "Variant ID", "Variants", "_line"])
     assert C.clean_product_catalog(raw, order_by=["_line"]).first().product_name == "z"
     assert C.clean_product_catalog(raw.drop("_line")).first().product_name == "a"
+
+
+def test_a_readable_amount_that_does_not_fit_is_not_lost(spark):
+    from shopledger.functions.money import fitting, parse_currency, statement_amount
+
+    def read(expr, text):
+        return spark.createDataFrame([(text,)], "a string").select(expr("a")).first()[0]
+
+    money = lambda c: fitting(F.col(c))
+    for expr in (parse_currency, statement_amount, money):
+        with pytest.raises(Exception, match="out of range"):
+            read(expr, "123456789012345678901")
+    assert read(parse_currency, "$9,999,999,999,999,999.99") == Decimal("9999999999999999.9900")
+    assert read(parse_currency, "n/a 5") == 5 and read(parse_currency, "none at all") == 0 and read(parse_currency, None) == 0
+    assert read(statement_amount, "abc") is None and read(statement_amount, None) is None
+    assert read(money, "abc") is None and read(money, None) is None and read(money, " 12.345") == Decimal("12.35")
+    with pytest.raises(Exception, match="out of range"):
+        read(money, "10000000000000")
+
+
+def test_bank_rows_with_oversized_amounts_are_rejected_with_a_reason(spark):
+    from shopledger.operators import cleaners
+
+    head = "`Account Number` string, `Transaction Date` string, `Credit Amount` string, `Debit Amount` string, Balance string, Description string"
+    rows = [("N1", "01/02/2025", "5", "", "1", "a"), ("N1", "01/02/2025", "99999999999999", "x", "1", "b"), ("", "01/02/2025", "12,345,678,901,234.5", None, "123456789012345", "c"), (" ", "01/02/2025", "1", "2", "3", "d")]
+    raw = spark.createDataFrame(rows, head)
+    accepted, rejected = cleaners.split_bank_rows(raw)
+    for part, whole in ((accepted, cleaners.clean_bank_transactions(raw)), (rejected, cleaners.rejected_bank_rows(raw))):
+        assert part.columns == whole.columns and sorted(map(repr, part.collect())) == sorted(map(repr, whole.collect()))
+    assert [(r.transaction_description, r.credit_amount, r.debit_amount) for r in accepted.collect()] == [("a", 5, None)]
+    assert {r.transaction_description: r.message for r in rejected.collect()} == {
+        "b": "credit_amount out of range",
+        "c": "missing account_number; credit_amount out of range; balance_after_transaction out of range",
+        "d": "missing account_number",
+    }

@@ -308,3 +308,79 @@ def test_quotients_are_exact_on_both_paths(spark):
         exact = Fraction(r.a) * Fraction(r.b) / Fraction(r.w) * 10**8
         size = (2 * abs(exact.numerator) + exact.denominator) // (2 * exact.denominator)
         assert r.q == Decimal(size if exact >= 0 else -size).scaleb(-8)
+
+
+def _sorts(spark, n=230):
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 20, f"t{i % 5}") for i in range(n)]
+    return spark.createDataFrame(rows, "bank_transaction_key long, debit_amount long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_pages_by_seek_and_by_offset_are_the_same(spark, down):
+    rows = _sorts(spark)
+    order = [("debit_amount", down), ("bank_transaction_key", not down)]
+    everything = [tuple(r) for r in rows.orderBy(*B.sort_columns(order)).collect()]
+    last = None
+    for n in range(6):
+        want = everything[50 * n : 50 * n + 50]
+        assert [tuple(r) for r in B.page(rows, order, 50, offset=50 * n).collect()] == want
+        if last is not None:
+            assert [tuple(r) for r in B.page(rows, order, 50, after=last).collect()] == want
+        last = (want[-1][1], want[-1][0]) if want else last
+    assert [tuple(r) for r in B.page(rows, order, None, offset=200).collect()] == everything[200:]
+    assert B.page(rows.limit(0), order, 10, offset=5).count() == 0
+    plan = B.page(rows, order, 50, offset=100)._jdf.queryExecution().executedPlan().toString()
+    assert "GlobalLimit" not in plan and "CollectLimit" not in plan
+
+
+def test_latest_balance_is_of_the_last_row(spark, dim_time):
+    bank = spark.createDataFrame(
+        [(1, 1, 20250110, 5, None, Decimal("90.00")), (2, 1, 20250111, None, 5, Decimal("40.00")), (3, 1, 20250111, 1, None, Decimal("41.00")), (4, 1, 20250112, 1, None, None)],
+        "bank_transaction_key long, bank_account_key long, transaction_date_key int, credit_amount int, debit_amount int, balance_after_transaction decimal(15,2)",
+    )
+    accounts = spark.createDataFrame([(1, "N1", "Main", None, None, None, "VND")], "bank_account_key long, account_number string, account_name string, cif_number string, customer_address string, opening_date date, currency_code string")
+    (row,) = B.bank_account_summary(bank, accounts, dim_time, latest=True).collect()
+    assert (row.current_balance, row.latest_balance) == (Decimal("90.00"), Decimal("41.00"))
+
+
+def test_trailing_customers_against_counting(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(3)
+    start = dt.date(2025, 1, 1)
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6]), start + dt.timedelta(rng.randrange(200)), k) for k in range(150)]
+    key = lambda d: d.year * 10000 + d.month * 100 + d.day
+    sales = spark.createDataFrame([(c, key(d), k, Decimal(1)) for c, d, k in rows], "customer_key long, sale_date_key int, order_key long, item_total decimal(15,2)")
+    ends = [dt.date(2025, m, 28) for m in range(1, 8)]
+    purchases = kpi.purchase_days(sales, build_dim_time(spark, "2025-01-01", "2025-12-31"))
+    got = {r["last"]: tuple(r)[1:] for r in kpi.trailing_customers(purchases, spark.createDataFrame([(d,) for d in ends], "last date"), (1, 30, 90)).collect()}
+    for last in ends:
+        assert got[last] == tuple(len({c for c, d, _ in rows if c and last - dt.timedelta(h - 1) <= d <= last}) for h in (1, 30, 90))
+
+
+def test_estimated_counts_are_close(spark):
+    days = build_dim_time(spark, "2025-01-01", "2025-12-31")
+    sales = spark.range(40_000).select(
+        F.col("id").alias("order_key"), (F.col("id") % 9000).alias("customer_key"), (F.lit(20250100) + F.col("id") % 28 + 1).cast("int").alias("sale_date_key")
+    )
+    sketches = kpi.daily_sketches(sales, days)
+    assert sketches.count() <= 56
+    for start, end in ((None, None), ("2025-01-05", "2025-01-20")):
+        for kind in ("all", "return", "new"):
+            got = kpi.approximate_counts(sketches, start, end, kind).first()
+            assert got.total_orders == pytest.approx(val(kpi.total_orders(sales, days, start, end, kind)), rel=0.06, abs=1)
+            assert got.total_customers == pytest.approx(val(kpi.total_customers(sales, days, start, end, kind)), rel=0.06, abs=1)
+
+
+def test_ids_of_a_hot_product_are_put_in_order_not_sorted_again(spark):
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("order_id"), F.when(F.col("id") % 50 == 0, "B").otherwise("A").alias("sku"), F.lit(1).cast("decimal(15,2)").alias("item_price"))
+    pos = P.product_order_sales(rows)
+    parts = P._ordered_id_parts(pos, per_part=100).collect()
+    hot = sorted((r.part, r.ids) for r in parts if r.product_id == "A")
+    assert len(hot) == P.ORDER_ID_PARTS and max(len(ids) for _, ids in hot) < 200
+    assert [i for _, ids in hot for i in ids] == sorted(i for _, ids in hot for i in ids)
+    listed = {r.product_id: r.order_ids for r in P.sales_by_sku(rows, per_part=100).collect()}
+    for product, text in listed.items():
+        ids = [int(i) for i in text.split(", ")]
+        assert ids == sorted(r.order_id for r in rows.filter(F.col("sku") == product).collect())
