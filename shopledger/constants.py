@@ -1,11 +1,10 @@
 """Fixed values. They are part of the data contract (file names, headers, account codes, labels, rates), not tuning."""
 
+from decimal import Decimal
+
 #: Column with the place of a row in its input: number of the file in its dataset, part file, start of the split, row in it.
 INPUT_POSITION = "_input"
 
-
-from decimal import Decimal
-
 # ---- fixed values: currency -------------------------------------------------------------------
 VND_PER_USD = Decimal("24708.655")
 MONEY_SYMBOLS = "₫đ$€£"
@@ -385,3 +384,62 @@ FACT_KEYS = {
     "fact_payments": ("payment_transaction_key", "payment_date_key"),
     "fact_bank_transactions": ("bank_transaction_key", "transaction_date_key"),
 }
+
+# ---- fixed values: money columns of the star tables --------------------------------------------
+STAR_MONEY = {
+    "dim_order": (
+        "order_value",
+        "discount_amount",
+        "shipping_discount",
+        "shipping",
+        "sales_tax",
+        "order_total",
+        "card_processing_fees",
+        "order_net",
+        "adjusted_order_total",
+        "adjusted_card_processing_fees",
+        "adjusted_net_order_amount",
+    ),
+    "dim_product": ("price",),
+    "fact_sales": (
+        "item_price",
+        "item_total",
+        "discount_amount",
+        "shipping_amount",
+        "shipping_discount",
+        "order_sales_tax",
+        "vat_paid_by_buyer",
+    ),
+    "fact_financial_transactions": ("amount", "fees_and_taxes", "net", "tax_details"),
+    "fact_deposits": ("deposit_amount",),
+    "fact_payments": (
+        "gross_amount",
+        "fees",
+        "net_amount",
+        "posted_gross",
+        "posted_fees",
+        "posted_net",
+        "adjusted_gross",
+        "adjusted_fees",
+        "adjusted_net",
+        "listing_amount",
+        "vat_amount",
+        "refund_amount",
+    ),
+    "fact_bank_transactions": ("credit_amount", "debit_amount", "balance_after_transaction"),
+}
+
+# ---- fixed values: raw columns that hold money, dates or text to tidy, per dataset -------------
+STATEMENT_MONEY = ("Amount", "Fees & Taxes", "Net", "Tax Details")
+ORDER_DATES = ("Sale Date", "Order Date", "Ship Date", "Date Shipped")
+ORDER_NUMBERS = ("Order Value", "Discount Amount", "Order Total", "Number of Items", "Card Processing Fees", "Order Net")
+ORDER_VND = ("Card Processing Fees", "Order Net")
+ORDER_TEXT = ("Full Name", "First Name", "Last Name", "Buyer", "Order Status")
+ORDER_ADDRESS = ("Address1", "Address2", "City", "State", "Country", "Zip")
+ITEM_NUMBERS = ("Price", "Quantity", "Total", "Item Total")
+ITEM_TEXT = ("Title", "Category", "Materials", "Tags")
+CHECKOUT_MONEY = ("Gross Amount", "Fees", "Net Amount", "Posted Gross", "Posted Fees", "Posted Net")
+
+# ---- fixed values: ids in a bank description ---------------------------------------------------
+# line_product_variant, then optionally a four-digit account after blanks or underscores
+DESCRIPTION_PATTERN = r"(?i)([A-Z0-9]+)_([A-Z0-9]+)_([A-Z0-9]+)(?:[_\s]+(\d{4}))?"

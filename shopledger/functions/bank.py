@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import PL_ACCOUNTS
+from ..constants import DESCRIPTION_PATTERN, PL_ACCOUNTS
 from .text import as_col, strip
 
-# line_product_variant, then optionally a four-digit account after blanks or underscores
-DESCRIPTION_PATTERN = r"(?i)([A-Z0-9]+)_([A-Z0-9]+)_([A-Z0-9]+)(?:[_\s]+(\d{4}))?"
 PARSED_FIELDS = ("pl_account_number", "parsed_product_line_id", "parsed_product_id", "parsed_variant_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import NULL_STRINGS, NULL_TOKENS, NULL_WORDS
+from ..constants import NULL_STRINGS, NULL_TOKENS, NULL_WORDS, STAR_MONEY
 
 MONEY = T.DecimalType(15, 2)
 
@@ -60,24 +60,11 @@ def null_strings(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
 
 LONG_IDS = ("listing_id", "order_id", "transaction_id")
-PRICE_COLUMNS = (
-    "price",
-    "item_price",
-    "item_total",
-    "discount_amount",
-    "shipping_amount",
-    "sales_tax",
-    "net_sales",
-    "processing_fees",
-    "platform_fees",
-    "total_fees",
-    "gross_profit",
-    "profit_margin",
-)
+MONEY_COLUMNS = frozenset(c for columns in STAR_MONEY.values() for c in columns)
 
 
 def coerce_star_types(df: DataFrame) -> DataFrame:
-    """``null_strings``, then text surrogate keys and ids to bigint and text prices to money; bad text gives null."""
+    """``null_strings``, then text surrogate keys and ids to bigint and text in the money columns of the star to money; bad text gives null."""
     text = set(_string_columns(df))
     out = []
     for name in df.columns:
@@ -86,7 +73,7 @@ def coerce_star_types(df: DataFrame) -> DataFrame:
             c = null_if_in(c, NULL_STRINGS)
             if name.endswith("_key") or name in LONG_IDS:
                 c = whole_number(c)
-            elif name in PRICE_COLUMNS:
+            elif name in MONEY_COLUMNS:
                 c = c.try_cast(MONEY)
         out.append(c.alias(name))
     return df.select(*out)

@@ -13,11 +13,20 @@ from ..constants import (
     CATALOG_HEADERS,
     CATALOG_KEY,
     CATALOG_NAMES,
+    CHECKOUT_MONEY,
     DEPOSIT_DATE,
+    ITEM_NUMBERS,
+    ITEM_TEXT,
     LONG_DATE,
+    ORDER_ADDRESS,
+    ORDER_DATES,
+    ORDER_NUMBERS,
     ORDER_STATUSES,
+    ORDER_TEXT,
+    ORDER_VND,
     SHORT_DATE,
     STATEMENT_DATE,
+    STATEMENT_MONEY,
 )
 from ..functions.bank import PARSED_FIELDS, parse_bank_description
 from ..functions.dates import day_first_date, parse_date
@@ -39,17 +48,6 @@ from ..functions.text import (
 from ..session import through_table
 from .keys import keep_first, row_order
 
-# raw columns that hold money, dates or text to tidy, per dataset
-STATEMENT_MONEY = ("Amount", "Fees & Taxes", "Net", "Tax Details")
-ORDER_DATES = ("Sale Date", "Order Date", "Ship Date", "Date Shipped")
-ORDER_NUMBERS = ("Order Value", "Discount Amount", "Order Total", "Number of Items", "Card Processing Fees", "Order Net")
-ORDER_VND = ("Card Processing Fees", "Order Net")
-ORDER_TEXT = ("Full Name", "First Name", "Last Name", "Buyer", "Order Status")
-ORDER_ADDRESS = ("Address1", "Address2", "City", "State", "Country", "Zip")
-ITEM_NUMBERS = ("Price", "Quantity", "Total", "Item Total")
-ITEM_TEXT = ("Title", "Category", "Materials", "Tags")
-CHECKOUT_MONEY = ("Gross Amount", "Fees", "Net Amount", "Posted Gross", "Posted Fees", "Posted Net")
-
 
 def _apply(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
     """Replace or add columns in one projection."""

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CALENDAR_END, CALENDAR_START, CATALOG_KEY, CATALOG_NAMES, HOME_COUNTRY, INPUT_POSITION, OPEN_END
+from ..constants import CALENDAR_END, CALENDAR_START, CATALOG_KEY, CATALOG_NAMES, HOME_COUNTRY, INPUT_POSITION, OPEN_END, STAR_MONEY
 from ..functions.dates import date_key, day_first_date
 from ..functions.lookups import country_columns, is_peak_season, retail_season, selling_season
 from ..functions.money import fitting
@@ -142,19 +142,7 @@ def build_dim_customer(orders: DataFrame, checkout: DataFrame | None) -> DataFra
     return assign_keys(one, "buyer_user_name", "customer_key").withColumns(scd_columns() | audit_columns())
 
 
-ORDER_MONEY = (
-    "order_value",
-    "discount_amount",
-    "shipping_discount",
-    "shipping",
-    "sales_tax",
-    "order_total",
-    "card_processing_fees",
-    "order_net",
-    "adjusted_order_total",
-    "adjusted_card_processing_fees",
-    "adjusted_net_order_amount",
-)
+ORDER_MONEY = STAR_MONEY["dim_order"]
 ORDER_TEXT = ("order_type", "payment_method", "payment_type", "coupon_code", "coupon_details")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INPUT_POSITION
 from ..functions.text import as_col
+from ..session import through_table
 
 
 def row_order(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -49,14 +50,16 @@ def key_bucket(business_key: Column, hex_digits: int = 3) -> Column:
 
 
 def assign_keys(
-    df: DataFrame, business_key: str, surrogate_key: str, after: Column | None = None, hex_digits: int = 3
+    df: DataFrame, business_key: str, surrogate_key: str, after: Column | None = None, hex_digits: int = 3, stored: bool = False
 ) -> DataFrame:
     """Dense keys 1..n (or ``after``+1..) over unique, non-null business keys, ordered by (md5 bucket, key).
 
     Rows are numbered inside 16**hex_digits buckets in parallel; the bucket offsets come from a count per bucket, at most
-    16**hex_digits rows. The same rows always get the same keys, also when a lost executor's work is redone.
+    16**hex_digits rows. The same rows always get the same keys, also when a lost executor's work is redone. The rows are
+    counted and numbered, so they are written once before, unless they are ``stored``: what they come from runs once.
     """
     rows = df.withColumn("__bucket", key_bucket(as_col(business_key), hex_digits))
+    rows = rows if stored else through_table(rows, "keyed")
     sizes = rows.groupBy("__bucket").agg(F.count("*").alias("n"))
     # at most 16**hex_digits rows reach this window
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ def _max_key(current: DataFrame, surrogate_key: str):
 
 
 def _number_new(new: DataFrame, business_key: str, surrogate_key: str, current: DataFrame) -> DataFrame:
-    return assign_keys(new, business_key, surrogate_key, after=_max_key(current, surrogate_key))
+    return assign_keys(new, business_key, surrogate_key, after=_max_key(current, surrogate_key), stored=True)
 
 
 def unseen_rows(
@@ -125,7 +125,7 @@ def _unseen_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
             "updated_date": F.current_timestamp(),
         }
     )
-    return _number_new(filled, "account_number", "bank_account_key", current)
+    return _number_new(through_table(filled, "unseen"), "account_number", "bank_account_key", current)
 
 
 def ensure_bank_accounts(current: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _unseen_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
             "__key": F.to_json(F.array(*CATALOG_KEY)),
         }
     )
-    return _number_new(new, "__key", "product_catalog_key", current).drop("__key")
+    return _number_new(through_table(new, "unseen"), "__key", "product_catalog_key", current).drop("__key")
 
 
 def unseen_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:

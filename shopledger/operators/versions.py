@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..constants import OPEN_END
 from ..functions.text import as_col
-from ..session import through_table
 from .keys import assign_keys, first_row
 
 #: Validity of versions that were there from the start.
@@ -49,7 +48,7 @@ def merge_versions(stored: DataFrame, incoming: DataFrame, business_key: str, su
     One join of the current versions with the incoming rows decides: changed keys are closed and opened anew, unseen keys are
     opened, all else stays. Closed versions are carried over untouched. Loading the same rows again changes nothing; a key that
     is changed twice on one day keeps the last state and leaves an empty validity behind. New versions are numbered after the
-    largest stored key. The opened rows are written once, since they are numbered and added.
+    largest stored key.
     """
     rows = first_row(incoming.filter(as_col(business_key).isNotNull()), [business_key])
     fresh = _open(rows, tracked, day)
@@ -64,7 +63,7 @@ def merge_versions(stored: DataFrame, incoming: DataFrame, business_key: str, su
     current = stored.filter("is_current").select(business_key, F.col("row_hash").alias("__old_hash"))
     opened = fresh.join(current, business_key, "left").filter(~F.col("__old_hash").eqNullSafe(F.col("row_hash"))).drop("__old_hash")
     top = stored.select(F.max(as_col(surrogate_key))).scalar()
-    numbered = assign_keys(through_table(opened, "opened"), business_key, surrogate_key, after=top)
+    numbered = assign_keys(opened, business_key, surrogate_key, after=top)
     return stored.filter("not is_current").unionByName(kept).unionByName(numbered.select(*stored.columns))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import COGS_ACCOUNTS, FEE_LINES, FULL_YEAR, OPERATING_ACCOUNTS, PL_ACCOUNTS, PROFIT_ITEMS, STATEMENT_LINES
 from ..functions.statement import fee_line
 from ..operators.filters import date_filter
+from ..session import through_table
 
 CENTS = "decimal(20,2)"
 VIEW_KEYS = {"month": ["month", "month_name"], "year": ["year"], "month_year": ["year", "month", "month_name"]}
@@ -164,8 +165,8 @@ def pl_statement(
     The period names (at most one per month of the range) are read first, as a result's columns must be known.
     """
     amounts = net_profit(pl_assemble(financial, bank, dim_time, view, start, end), selected_items, use_default)
-    # one row per period; kept so that the period names and the statement need one computation
-    amounts = amounts.persist()
+    # one row per period; written so that the period names and the statement need one computation
+    amounts = through_table(amounts, "periods")
     names = amounts.select(_period_label(view).alias("p"), _period_order(view).alias("n")).orderBy("n").collect()
     values = [r.p for r in names] + [FULL_YEAR]
     wide = pl_statement_long(amounts, view).groupBy("line_no", "line_item").pivot("period", values).agg(F.first("amount"))

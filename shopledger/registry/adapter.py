@@ -123,6 +123,7 @@ def line_type() -> Column:
     )
 
 
+# fixed values: one title per rule of the statement's VAT lines
 VAT_TITLES = (
     "VAT: auto-renew sold",
     "VAT: shipping_transaction",
@@ -464,6 +465,7 @@ def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# fixed values: headers of a bank export
 BANK_RAW_HEADERS = (
     "Ngày GD (Transaction Date)",
     "Mã giao dịch (Reference No.)",

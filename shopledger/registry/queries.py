@@ -872,8 +872,9 @@ def fact_payments(spark, sf):
 
 def _fact_bank(spark, sf):
     c = _stored(spark, sf, "bank_transactions", "product_catalog")
-    accounts = D.build_dim_bank_account(D.derive_bank_accounts(c["bank_transactions"]))
-    return FB.build_fact_bank(c["bank_transactions"], accounts, D.build_dim_product_catalog(c["product_catalog"]))
+    accounts = through_table(D.build_dim_bank_account(D.derive_bank_accounts(c["bank_transactions"])), "dim_bank_account")
+    catalog = through_table(D.build_dim_product_catalog(c["product_catalog"]), "dim_product_catalog")
+    return FB.build_fact_bank(c["bank_transactions"], accounts, catalog)
 
 
 @query

@@ -3,6 +3,7 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
+from shopledger.constants import STAR_MONEY
 from shopledger.operators import delete as X
 from shopledger.operators.dimensions import build_dim_time
 from shopledger.plans.pipeline import load_star, run_period
@@ -57,6 +58,9 @@ def test_load_clean_build_twice(spark, tmp_path):
     assert sales.filter("order_key is null or customer_key is null or product_key is null or geography_key is null").count() == 0
     assert star["fact_bank_transactions"].filter("product_catalog_key is null or bank_account_key is null").count() == 0
     assert float(star["fact_deposits"].first().deposit_amount) == 100.0
+    for name, df in star.items():
+        money = {f.name for f in df.schema if f.dataType.simpleString() == "decimal(15,2)"}
+        assert money == set(STAR_MONEY.get(name, ())), name
     shares = {r.product_id: float(r.refund) for r in allocate(sales, star["fact_financial_transactions"]).collect()}
     assert shares == {"P1": 4.0, "P2": 8.0}
 
