@@ -34,6 +34,8 @@ BLOCK = 2048
 #: Queries of a batch: what is collected and sent to every task, 8 bytes a component and as much for the statistics.
 BATCH = 16_384
 QUERY_BLOCK = 1024
+#: Share of pairs that the coarse bounds leave, from which on a block is scored as a whole.
+WEAK = 0.25
 #: Sums of products up to this size are exact as doubles.
 EXACT = 2.0**53
 #: Scores are ranked up to this size; larger ones are ties.
@@ -106,18 +108,32 @@ def exact_scores(q: Block, x: Block, rows: np.ndarray, columns: np.ndarray) -> n
     return np.array([sum(a * b for a, b in zip(whole[0][i], whole[1][j], strict=True)) for i, j in zip(rows.tolist(), columns.tolist(), strict=True)], object)
 
 
-def surviving_pairs(q: Block, x: Block, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) that no bound puts below the query's floor; each level is computed for the pairs left."""
+def surviving_pairs(q: Block, x: Block, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the pairs that no bound and no score puts below the query's floor.
+
+    Each level is computed for the pairs left. Where a level leaves nearly all of them (vectors without structure), finer ones
+    would not pay: then the scores are taken as one product of the blocks, which is how many pairs are scored cheapest.
+    """
     dim = q.x.shape[1]
     with np.errstate(over="ignore", invalid="ignore"):
-        bounds = q.levels[0] @ x.levels[0].T + _slack(q.levels[0], x.levels[0], dim)
-        # not below: a bound that overflowed decides nothing
-        rows, columns = np.nonzero(~(bounds < floors[:, None]) & (q.ids[:, None] != x.ids[None, :]))
+        bounds = q.levels[0] @ x.levels[0].T
+        bounds += _slack(q.levels[0], x.levels[0], dim)
+        alive = ~(bounds < floors[:, None])  # not below: a bound that overflowed decides nothing
+        if alive.mean() > WEAK and q.largest * x.largest * dim < EXACT:
+            scores = q.x @ x.x.T
+            alive &= scores >= floors[:, None]
+            rows, columns = np.nonzero(alive)
+            other = q.ids[rows] != x.ids[columns]
+            rows, columns = rows[other], columns[other]
+            return rows, columns, scores[rows, columns]
+        rows, columns = np.nonzero(alive & (q.ids[:, None] != x.ids[None, :]))
         for q_level, x_level in zip(q.levels[1:], x.levels[1:], strict=True):
             slack = _slack(q_level, x_level, dim)
             stay = np.concatenate([~(np.einsum("pd,pd->p", q_level[r], x_level[c]) + slack < floors[r]) for r, c in _parts(rows, columns)] or [np.empty(0, bool)])
             rows, columns = rows[stay], columns[stay]
-    return rows, columns
+    scores = np.concatenate([exact_scores(q, x, r, c) for r, c in _parts(rows, columns)] or [np.empty(0)])
+    high = np.array(scores >= floors[rows], bool)
+    return rows[high], columns[high], scores[high]
 
 
 def _parts(rows: np.ndarray, columns: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,10 +167,9 @@ class Search:
         """(query, vector, score) of what may be among the best."""
         if not np.isfinite(self.floors).all():
             self.seed(x)
-        rows, columns = surviving_pairs(self.queries, x, self.floors)
+        rows, columns, scores = surviving_pairs(self.queries, x, self.floors)
         if not len(rows):
             return
-        scores = np.concatenate([exact_scores(self.queries, x, r, c) for r, c in _parts(rows, columns)])
         order = np.lexsort((x.ids[columns], -scores, rows))
         rows, columns, scores = rows[order], columns[order], scores[order]
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))

@@ -141,6 +141,25 @@ def test_vector_search_of_large_components_and_many_batches(spark):
     assert any(r[3] is None for r in want)
 
 
+def test_bounds_thin_out_structured_vectors(spark):
+    rng = np.random.default_rng(6)
+    data = np.repeat(rng.normal(size=(600, 4)) * 20, 16, axis=1) + rng.normal(size=(600, 64)) * 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    whole = np.floor(data * 256).astype(np.int64)
+    want = []
+    for q in range(0, 600, 50):
+        order = sorted((-int(whole[q] @ whole[i]), i) for i in range(600) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert sorted(map(tuple, vector_search.top_k(df, df.filter("vec_id % 50 = 0"), block=100, query_block=5).collect())) == sorted(want)
+    q, x = (vector_search.Block(np.arange(a, b).tobytes(), whole[a:b].astype(float).tobytes(), 64) for a, b in ((0, 10), (10, 600)))
+    floors = np.sort(q.x @ x.x.T, axis=1)[:, -5]
+    bounds = q.levels[0] @ x.levels[0].T
+    assert (bounds >= floors[:, None]).mean() < vector_search.WEAK  # the coarse level alone drops most pairs
+    found = vector_search.surviving_pairs(q, x, floors)
+    assert len(found[0]) == 50 and (found[2] >= floors[found[0]]).all()
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/é b", "<p>one</p>"), (2, None, None), (3, "u", ""), (4, "http://c\r\nX: y", "<p>one</p>"), (5, "d", "\r\n\r\nWARC/1.0\r\n"), (9, "e", "<p>one</p>"), (None, "f", "<p>one</p>"), (6, "g", "é" * 70_000), (9, "e", "<p>one</p>")]
     pages = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, html string, payload_key string, n int").repartition(2)
