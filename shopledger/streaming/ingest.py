@@ -13,11 +13,16 @@ from ..plans.pipeline import run_period
 from ..sources.files import list_files, resolve_files, text_schema
 
 
-def file_stream(spark: SparkSession, root: str, dataset: str, columns: Sequence[str], max_files: int | None = None) -> DataFrame:
-    """Stream of the CSV files of one dataset in all period folders, all text, with the period they lie in."""
+def file_stream(
+    spark: SparkSession, root: str, dataset: str, columns: Sequence[str], max_files: int | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Stream of the CSV files of one dataset in all period folders, all text, with the period they lie in.
+
+    Quoted line breaks need ``multi_line``, which reads each file in one task.
+    """
     pattern = next(p for p, key in FILE_PATTERNS if key == dataset)
     reader = spark.readStream.schema(text_schema(columns)).options(
-        header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=False
+        header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", enforceSchema=False
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
