@@ -5,8 +5,8 @@
 3. Best fit decreasing runs on the counts: a group of equal bins takes a piece length at once. The plan is a list of runs
    (length, first rank, count, first sequence, offset), again bounded by the capacity alone.
 4. Every piece gets its rank within its length and takes the slot of the run that holds the rank. Ranks are numbered inside
-   (length, salt) and shifted by the counts of the salts before; a length gets a salt per so many pieces, so that one that
-   most pieces share is no hot key at any size.
+   (length, salt) and shifted by the counts of the salts before; a length gets salts by its count and share, so that one
+   that most pieces have is no hot key at any size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length that one task numbers, about: a length that more pieces share is dealt to several salts.
-SALT_PIECES = 500_000
+#: A length is dealt to a salt per so many of its pieces, about, and per so large a share of all pieces: 1 / SALTS.
+SALT_PIECES, SALTS = 500_000, 64
 
 
 def encode_text(text: str, path: str, ranks: str | None = None) -> bytes:
@@ -92,11 +92,13 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def assign_slots(pieces: DataFrame, capacity: int, salt_pieces: int = SALT_PIECES) -> DataFrame:
     """``pieces`` (id, piece, length, ...) with sequence_id and offset. ``pieces`` is read three times: pass a stored table."""
     spark = pieces.sparkSession
-    lengths = pieces.groupBy("length").count()  # at most capacity rows
-    salts = F.broadcast(lengths.select("length", F.ceil(F.col("count") / salt_pieces).alias("salts")))
+    found = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    total = sum(found.values())
+    table = [(length, max(-(-n // salt_pieces), -(-n * SALTS // total))) for length, n in found.items()]
+    salts = F.broadcast(spark.createDataFrame(table, "length long, salts long"))
     salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), "salts").cast("int")).drop("salts")
     cells = salted.groupBy("length", "salt").count()
-    cells = cells.collect()  # a row per length, and one per salt_pieces pieces
+    cells = cells.collect()  # capacity + SALTS rows at most, and one per salt_pieces pieces
     shifts, counts = [], {}
     for length, salt, n in sorted((c["length"], c["salt"], c["count"]) for c in cells):
         shifts.append((length, salt, counts.get(length, 0)))

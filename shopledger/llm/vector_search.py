@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import through_table
-from .common import arrow_pass, read_table, ship_package
+from .common import read_table, ship_package
 
 K = 5
 SCALE = 256
