@@ -43,7 +43,6 @@ from ..functions.text import (
     snake_name,
     split_commas,
     squash,
-    strip,
 )
 from ..session import through_table
 from .keys import keep_first, row_order
