@@ -231,25 +231,36 @@ def tested_links(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, flags, wo
     return links
 
 
+#: Names of rows whose id names no single text start here, behind all ids.
+_NAMELESS = 1 << 62
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, space: Workspace) -> DataFrame:
+    """(name, id, text, row): the id, or a hash of id and text where the id is null or stands for differing texts."""
+    identity, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    versions = docs.select(identity.alias("id"), F.xxhash64(text).alias("version")).filter("id is not null").groupBy("id")
+    twofold = space.table(versions.agg(F.min("version").alias("low"), F.max("version").alias("high")).filter("low <> high").select("id", F.lit(True).alias("twofold")), "twofold")
+    rows = docs.select(identity.alias("id"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(twofold, "id", "left")
+    own = F.lit(_NAMELESS) + F.pmod(F.xxhash64("id", "text"), F.lit(_NAMELESS))
+    return rows.select(F.when(F.col("id").isNull() | F.col("twofold").isNotNull(), own).otherwise(F.col("id")).alias("name"), "id", "text", "row")
+
+
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents, with all its columns: that of the smallest id, null ids last.
 
-    A document is named by a hash of its id and text, so rows with a null id and differing texts under one id are judged by
-    their own text. Of rows that repeat both id and text one stays. Documents without words are linked with nothing and stay.
+    Rows with a null id and differing texts under one id are judged by their own text. Of rows that repeat both id and text
+    one stays. Documents without words are linked with nothing and stay.
     """
     space = Workspace(docs.sparkSession)
-    name = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    rows = docs.select(name.alias("name"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = _named(docs, id_col, text_col, space)
     linked = linked_documents(rows.select("name", "text"), words=words, percent=percent, id_col="name")
     linked = space.table(linked.select("name", "component_id").join(rows.select("name", "id").distinct(), "name"), "linked")
     stays = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "name")).alias("stays"))
     later = linked.join(stays, "component_id").filter("name <> stays.name").select("name").distinct()
     again = linked.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     odd = space.table(later.select("name", F.lit(False).alias("repeats")).union(again.join(later, "name", "left_anti").select("name", F.lit(True))), "odd")
-    space.keep(odd)
-    packed = docs.select(name.alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    alone = packed.join(odd, "name", "left_anti").select("row")
-    repeated = packed.join(odd.filter("repeats"), "name", "left_semi").groupBy("name").agg(F.min("row").alias("row")).select("row")
+    alone = rows.join(odd, "name", "left_anti").select("row")
+    repeated = rows.join(odd.filter("repeats"), "name", "left_semi").groupBy("name").agg(F.min("row").alias("row")).select("row")
     return alone.union(repeated).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
