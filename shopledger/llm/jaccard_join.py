@@ -5,9 +5,10 @@ n-gram is frequent if its cell of a count sketch over the whole corpus is well a
 same result; this one keeps common passages out of the prefixes.
 
 Candidates. Documents with equal sets become one class, known by its smallest id. If two sets link, their prefixes in the
-global order share an n-gram. Within the documents that share a prefix n-gram, each is first paired with the first of them
-only. What these links connect needs no further pairs; then every pair that shares a prefix n-gram and is still in two
-components is tested as well. So no link between different texts is lost, and no group of copies is expanded into its pairs.
+global order share an n-gram. Of the documents that share a prefix n-gram, the first holds it for the others. Each document is
+tested against the one first holder that it meets most often, then against its other first holders that are not in its
+component yet. What these links connect needs no further pairs; then every pair that shares a prefix n-gram and is still in
+two components is tested as well. So no link between different texts is lost, and no group of near copies is expanded into its pairs.
 
 Counting. The order is cut into fragments. Each candidate set is cut with it, the overlaps of a pair are counted fragment by
 fragment, and their sum decides: 100 * overlap >= percent * (size + size - overlap).
@@ -155,21 +156,30 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reach = "(100 + {p}) * least(a_n - a_at, b_n - b_at) >= {p} * (a_n + b_n)".format(p=percent)
     near = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {reach}"
     stars = buckets.filter("rep <> first.rep").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("a_n"), F.col("n").alias("b_n"), F.col("first.at").alias("a_at"), F.col("at").alias("b_at"))
-    pairs = space.table(stars.filter(near).select("a", "b", "a_n", "b_n").distinct(), "pairs")
-    links = tested_links(rows, firsts, pairs, flags, words, percent, cells)
-
+    pairs = space.table(stars.filter(near).groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("grams")), "pairs")
+    # each document against the one first holder that it meets most often; only what this leaves apart meets its other first holders
+    likely = pairs.groupBy("b").agg(F.max(F.struct("grams", -F.col("a"), "a_n", "b_n")).alias("m"))
+    likely = space.table(likely.select((-F.col("m.col2")).alias("a"), "b", "m.a_n", "m.b_n"), "likely")
+    links = tested_links(rows, firsts, likely, flags, words, percent, cells)
     found = components(links)
+    part = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    apart = pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    apart = space.table(apart.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b", "a_n", "b_n"), "apart")
+    if not apart.isEmpty():
+        links = space.table(links.union(tested_links(rows, firsts, apart, flags, words, percent, cells)), "links")
+        found = components(links)
     placed = space.table(buckets.join(found, buckets["rep"] == found["node"], "left").select("gram", "rep", "n", "at", F.coalesce("component", "rep").alias("component")), "placed")
     # where an n-gram's documents are in several components: those outside its largest one, against all others
     sizes = placed.groupBy("gram", "component").count()
     mixed = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).filter("parts > 1")
     open_rows = space.table(placed.join(mixed, "gram"), "open")
-    space.keep(sets, classes, copies, pairs, open_rows)
+    tested = likely.select("a", "b").union(apart.select("a", "b"))
+    space.keep(sets, classes, copies, likely, apart, links, open_rows)
     a = open_rows.filter("component <> main").select("gram", F.col("rep").alias("x"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("x_part"))
     b = open_rows.select("gram", F.col("rep").alias("y"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("y_part"))
     rest = a.join(b, "gram").filter(f"x_part <> y_part and {near}")  # one condition of the join: what fails it is never a row
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(F.col("x") < F.col("y"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n"))
-    rest = space.table(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = space.table(rest.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     all_links = links if rest.isEmpty() else space.table(links.union(tested_links(rows, firsts, rest, flags, words, percent, cells)), "links")
     final = found if rest.isEmpty() else components(all_links)
 
