@@ -21,13 +21,6 @@ VARIATION_FIELDS = ("size", "style", "color", "material")
 
 def extract_variations(c: Column | str) -> Column:
     """``Size: L, Color: Red`` -> struct(size, style, color, material); the last part of a kind wins."""
-    pairs = F.transform(
-        F.filter(F.split(as_col(c), r"[;,]\s*", -1), lambda p: p.contains(":")),
-        lambda p: F.struct(
-            F.lower(F.substring_index(p, ":", 1)).alias("key"),
-            strip(F.regexp_replace(p, r"(?s)^[^:]*:", "")).alias("value"),
-        ),
-    )
 
     def kind(key: Column) -> Column:
         return (
@@ -37,11 +30,17 @@ def extract_variations(c: Column | str) -> Column:
             .when(key.contains("material"), "material")
         )
 
-    def last(field: str) -> Column:
-        mine = F.filter(pairs, lambda p: kind(p["key"]) == field)
-        return F.try_element_at(mine, F.lit(-1))["value"].alias(field)
+    pairs = F.transform(
+        F.filter(F.split(as_col(c), r"[;,]\s*", -1), lambda p: p.contains(":")),
+        lambda p: F.struct(kind(F.lower(F.substring_index(p, ":", 1))).alias("kind"), p.alias("part")),
+    )
+
+    def last(pairs: Column, field: str) -> Column:
+        mine = F.try_element_at(F.filter(pairs, lambda p: p["kind"] == field), F.lit(-1))["part"]
+        return strip(F.regexp_replace(mine, r"(?s)^[^:]*:", "")).alias(field)
 
-    return F.struct(*[last(f) for f in VARIATION_FIELDS])
+    # the one element is the list of pairs: as a variable it is built once, not once for each field
+    return F.transform(F.array(pairs), lambda ps: F.struct(*[last(ps, f) for f in VARIATION_FIELDS]))[0]
 
 
 def clean_description(c: Column | str) -> Column:

@@ -110,11 +110,15 @@ def clean_sold_order_items(raw: DataFrame) -> DataFrame:
     changes |= {c: parse_currency(c) for c in _present(df, ITEM_NUMBERS)}
     changes |= {c: squash(c) for c in _present(df, ITEM_TEXT)}
     if "Variations" in df.columns:
-        parts = extract_variations("Variations")
-        changes |= {f: parts[f] for f in VARIATION_FIELDS}
+        changes["__found"] = extract_variations("Variations")
+    out = _apply(df, changes)
+    if "Variations" in df.columns:
+        # a second projection, so that the fields are read from one result
+        added = {f: F.col("__found")[f] for f in VARIATION_FIELDS}
         # no source states a personalization; the column stays for the fact's schema
-        changes["personalization"] = F.lit(None).cast("string")
-    return snake_case_columns(_apply(df, changes))
+        added["personalization"] = F.lit(None).cast("string")
+        out = _apply(out, added).drop("__found")
+    return snake_case_columns(out)
 
 
 def clean_direct_checkout(raw: DataFrame) -> DataFrame:
