@@ -40,10 +40,18 @@ def header_rows(records: DataFrame) -> DataFrame:
     """(file, head_place, names): the first record of each file whose text contains a known word, else its first record."""
     line = F.lower(F.array_join("cells", " "))
     is_header = reduce(lambda a, b: a | b, [line.contains(w) for w in BANK_HEADER_WORDS])
-    record = F.struct("place", "cells")
-    heads = records.groupBy("file").agg(F.min(F.when(is_header, record)).alias("marked"), F.min(record).alias("first"))
-    heads = heads.select("file", F.coalesce("marked", "first").alias("head"))
-    return heads.select("file", F.col("head.place").alias("head_place"), F.col("head.cells").alias("names"))
+    # part and file of a place are the same in all records of a file: start and row decide, two numbers that hash aggregates
+    # compare in place. The cells of the one record follow by a join; an aggregate over them would sort all records.
+    start, row = F.col("place.start"), F.col("place.row")
+    blocks = records.groupBy("file", start.alias("start")).agg(F.min(F.when(is_header, row)).alias("marked"), F.min(row).alias("first"))
+    firsts = blocks.groupBy("file").agg(
+        F.min(F.when(F.col("marked").isNotNull(), F.struct("start", F.col("marked").alias("row")))).alias("marked"),
+        F.min(F.struct("start", F.col("first").alias("row"))).alias("first"),
+    )
+    head = F.coalesce("marked", "first")
+    heads = firsts.select("file", head["start"].alias("start"), head["row"].alias("row"))
+    found = records.withColumns({"start": start, "row": row}).join(F.broadcast(heads), ["file", "start", "row"])
+    return found.select("file", F.col("place").alias("head_place"), F.col("cells").alias("names"))
 
 
 def read_bank_export(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True, positions: bool = False) -> DataFrame:
