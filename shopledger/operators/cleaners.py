@@ -194,6 +194,12 @@ def _rename_bank(raw: DataFrame) -> DataFrame:
     return raw.toDF(*names)
 
 
+def _bank_amount(c: Column) -> Column:
+    text = F.translate(c, "," + WHITESPACE, "")
+    value = text.try_cast(MONEY)
+    return F.struct(value.alias("value"), out_of_range(text, value).alias("too_large"))
+
+
 def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFrame:
     """Bank rows under their standard names, typed, with parsed ids, and ``__rejection``: why a row cannot be stored, or ""."""
     df = null_tokens(_rename_bank(raw))
@@ -202,19 +208,21 @@ def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFr
     money = ("credit_amount", "debit_amount", "balance_after_transaction")
     missing = [c for c in (*text, *dates, *money) if c not in df.columns]
     df = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
-    account = clean_text("account_number")
     changes: dict[str, Column] = {
-        "account_number": account,
-        "account_name": F.coalesce(clean_text("account_name"), account),
+        "account_number": clean_text("account_number"),
+        "account_name": clean_text("account_name"),
     }
     changes |= {c: day_first_date(c) for c in dates}
-    amounts = {c: F.translate(as_col(c), "," + WHITESPACE, "") for c in money}
-    changes |= {c: text.try_cast(MONEY) for c, text in amounts.items()}
-    too_large = [F.when(out_of_range(text, changes[c]), F.lit(f"{c} out of range")) for c, text in amounts.items()]
-    changes["__rejection"] = F.concat_ws("; ", F.when(account.isNull(), F.lit("missing account_number")), *too_large)
+    # one expression for all amounts: written out per column, the row's code grows beyond what the JVM compiles
+    changes["__amounts"] = F.transform(F.array(*[as_col(c) for c in money]), _bank_amount)
     changes["__parsed"] = parse_bank_description("transaction_description", first_token_fallback)
-    out = _apply(df, changes)
-    out = out.select(*[c for c in out.columns if c != "__parsed"], *[F.col("__parsed")[f].alias(f) for f in PARSED_FIELDS])
+    read = _apply(df, changes)
+    amount = {c: F.col("__amounts")[i] for i, c in enumerate(money)}
+    too_large = [F.when(amount[c]["too_large"], F.lit(f"{c} out of range")) for c in money]
+    missing_account = F.when(F.col("account_number").isNull(), F.lit("missing account_number"))
+    typed = {c: amount[c]["value"] for c in money} | {"account_name": F.coalesce("account_name", "account_number")}
+    out = _apply(read, typed | {"__rejection": F.concat_ws("; ", missing_account, *too_large)})
+    out = out.select(*[c for c in out.columns if c not in ("__parsed", "__amounts")], *[F.col("__parsed")[f].alias(f) for f in PARSED_FIELDS])
     return out.withColumn("is_business_related", F.col("parsed_product_line_id").isNotNull())
 
 
