@@ -23,6 +23,10 @@ def record_cells(record: Column) -> Column:
     return F.transform(plain, lambda c: F.nullif(c, F.lit("")))
 
 
+# A record with a plain cell, or with a quoted one without quotes and commas inside: it is not blank.
+_PLAINLY_FILLED = r'(?:^|,)(?:[^",]|"[^",]+")'
+
+
 def read_records(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """(file, place, cells) of every record that is not blank, in one scan.
 
@@ -32,8 +36,9 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], multi_line: bo
     options = {"header": False, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": multi_line, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "record"}
     rows = spark.read.schema(text_schema(["only", "record"])).options(**options).csv(paths)
     cells = F.when(F.col("record").isNull(), F.array(F.nullif("only", F.lit("")))).otherwise(record_cells(F.col("record")))
-    found = rows.select(F.col("_metadata.file_path").alias("file"), input_position().alias("place"), cells.alias("cells"))
-    return found.filter(F.exists("cells", lambda c: c.isNotNull()))
+    # the filter is run below the projection, on cells of its own: most records need none of them there
+    filled = F.when(F.col("record").rlike(_PLAINLY_FILLED), F.lit(True)).otherwise(F.exists(cells, lambda c: c.isNotNull()))
+    return rows.filter(filled).select(F.col("_metadata.file_path").alias("file"), input_position().alias("place"), cells.alias("cells"))
 
 
 def header_rows(records: DataFrame) -> DataFrame:
@@ -70,7 +75,8 @@ def read_bank_export(spark: SparkSession, paths: str | Sequence[str], multi_line
     places = F.array(*[F.array_position("names", F.lit(n)).cast("int") - 1 for n in columns]) if columns else F.array().cast("array<int>")
     layouts = heads.select("file", "head_place", F.size("names").alias("width"), places.alias("places"))
     body = records.join(layouts, "file").filter(F.col("place") > F.col("head_place"))
-    beyond = F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: c.isNotNull())
+    # sizes first: later filters are run below this projection, with the test repeated for every cell they look at
+    beyond = (F.size("cells") > F.col("width")) & F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))), lambda c: c.isNotNull())
     message = F.concat(F.lit("a row has more cells than the header of "), F.col("file"))
     checked = F.when(beyond, F.raise_error(message).cast("array<string>")).otherwise(F.col("cells"))
     rows = body.select(checked.alias("cells"), "places", "place")
