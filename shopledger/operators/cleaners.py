@@ -220,7 +220,10 @@ def normalize_bank(raw: DataFrame, first_token_fallback: bool = False) -> DataFr
     too_large = [F.when(amount[c]["too_large"], F.lit(f"{c} out of range")) for c in money]
     missing_account = F.when(F.col("account_number").isNull(), F.lit("missing account_number"))
     typed = {c: amount[c]["value"] for c in money} | {"account_name": F.coalesce("account_name", "account_number")}
-    out = _apply(read, typed | {"__rejection": F.concat_ws("; ", missing_account, *too_large)})
+    # a row's number is never below 0: as it may differ from run to run, no filter on the reason is moved below this projection,
+    # where all that the reason comes from would be computed a second time
+    reason = F.when(F.monotonically_increasing_id() >= 0, F.concat_ws("; ", missing_account, *too_large))
+    out = _apply(read, typed | {"__rejection": reason})
     out = out.select(*[c for c in out.columns if c not in ("__parsed", "__amounts")], *[F.col("__parsed")[f].alias(f) for f in PARSED_FIELDS])
     return out.withColumn("is_business_related", F.col("parsed_product_line_id").isNotNull())
 

@@ -68,7 +68,7 @@ def read_bank_export(spark: SparkSession, paths: str | Sequence[str], multi_line
     the first counts. A cell behind the header's last column is an error, a shorter row is filled with null. With
     ``positions`` rows carry their place in the input.
     """
-    records = through_table(read_records(spark, paths, multi_line), "bank-records")
+    records = through_table(read_records(spark, paths, multi_line), "bank-records", "zstd")
     heads = through_table(header_rows(records), "bank-headers")
     named = heads.select(F.posexplode("names").alias("at", "name")).filter("name is not null").groupBy("name").agg(F.min("at").alias("at"))
     columns = [r.name for r in named.orderBy("at", "name").collect()]
