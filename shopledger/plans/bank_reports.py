@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_col
 from ..operators.filters import date_filter, valid_date
-from ..session import through_table
+from ..session import drop_table, through_table
 
 CENTS = "decimal(20,2)"
 
@@ -210,6 +210,14 @@ PARSED = {
     "parsed_variant_id": "variant_id",
 }
 NAMES = ("product_line_name", "product_name", "variant_name")
+_BROWSED = (
+    "bank_transaction_key",
+    "bank_account_key",
+    "product_catalog_key",
+    *BANK_SORT,
+    *PARSED,
+    "is_business_related",
+)
 
 
 def search_bank(bank, search=None, account_number=None) -> DataFrame:
@@ -248,22 +256,31 @@ def browse_bank_transactions(
     ``after``: the values that the last row seen has in the columns of ``bank_order``; the page starts behind it.
 
     The lookups have one row per key and do not change the row count, so the page is cut before them: they are joined to
-    ``limit`` rows, not to the fact. Without a limit all rows are joined.
+    ``limit`` rows, not to the fact. Without a limit all rows are joined; what is read, and what is named, is then written and
+    the shuffle files before it go, so that the disk never holds the shuffles of all steps.
     """
     rows = date_filter(search_bank(bank, search, account_number), dim_time, "transaction_date_key", attributes=["full_date"], how="left")
     rows = rows.withColumnRenamed("full_date", "transaction_date")
     order = bank_order(sort_by, sort_order)
-    cut = page(rows, order, limit, offset, after)
+    whole = limit is None and not offset
+    if whole:
+        rows = rows if after is None else rows.filter(after_row(order, after))
+        cut = through_table(rows.select(*_BROWSED), "bank-rows", "zstd")
+    else:
+        cut = page(rows, order, limit, offset, after)
     by_key = catalog.select("product_catalog_key", *[F.col(c).alias(f"key_{c}") for c in NAMES])
     by_ids = catalog.select(
         *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
     )
-    named = accounts.select("bank_account_key", "account_name")
-    out = (
-        cut.join(named, "bank_account_key", "left")
-        .join(by_key, "product_catalog_key", "left")
-        .join(by_ids, list(PARSED), "left")
-    )
+    ids = ("product_catalog_key", *PARSED)
+    # names are looked up once per set of ids: the rows themselves go through one join, and rows without a key are not one group
+    products = cut.select(*ids).distinct().join(by_key, "product_catalog_key", "left").join(by_ids, list(PARSED), "left")
+    products = products.select(*[F.col(c).alias(f"__{c}") for c in ids], *[F.coalesce(f"key_{c}", f"ids_{c}").alias(c) for c in NAMES])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids])
+    out = cut.join(accounts.select("bank_account_key", "account_name"), "bank_account_key", "left").join(products, same, "left")
+    if whole:
+        out = through_table(out.select(*[c for c in _BROWSED if c not in ("bank_account_key", "product_catalog_key")], "account_name", *NAMES), "bank-named", "zstd")
+        drop_table(cut)
     # sorted before null amounts read 0: they sort as nulls
     return out.orderBy(*sort_columns(order)).select(
         "bank_transaction_key",
@@ -274,7 +291,7 @@ def browse_bank_transactions(
         "transaction_description",
         "pl_account_number",
         *PARSED,
-        *[F.coalesce(f"key_{c}", f"ids_{c}").alias(c) for c in NAMES],
+        *NAMES,
         _or_zero("credit_amount").alias("credit_amount"),
         _or_zero("debit_amount").alias("debit_amount"),
         "balance_after_transaction",
