@@ -272,15 +272,19 @@ def browse_bank_transactions(
     by_ids = catalog.select(
         *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
     )
-    ids = ("product_catalog_key", *PARSED)
-    # names are looked up once per set of ids: the rows themselves go through one join, and rows without a key are not one group
-    products = cut.select(*ids).distinct().join(by_key, "product_catalog_key", "left").join(by_ids, list(PARSED), "left")
-    products = products.select(*[F.col(c).alias(f"__{c}") for c in ids], *[F.coalesce(f"key_{c}", f"ids_{c}").alias(c) for c in NAMES])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids])
-    out = cut.join(accounts.select("bank_account_key", "account_name"), "bank_account_key", "left").join(products, same, "left")
+    out = cut.join(accounts.select("bank_account_key", "account_name"), "bank_account_key", "left")
+    names = [F.coalesce(f"key_{c}", f"ids_{c}").alias(c) for c in NAMES]
     if whole:
-        out = through_table(out.select(*[c for c in _BROWSED if c not in ("bank_account_key", "product_catalog_key")], "account_name", *NAMES), "bank-named", "zstd")
+        # names are looked up once per set of ids: the rows themselves go through one join, and rows without a key are not one group
+        ids = ("product_catalog_key", *PARSED)
+        products = cut.select(*ids).distinct().join(by_key, "product_catalog_key", "left").join(by_ids, list(PARSED), "left")
+        products = products.select(*[F.col(c).alias(f"__{c}") for c in ids], *names)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids])
+        read = [c for c in _BROWSED if c not in ("bank_account_key", "product_catalog_key")]
+        out = through_table(out.join(products, same, "left").select(*read, "account_name", *NAMES), "bank-named", "zstd")
         drop_table(cut)
+    else:
+        out = out.join(by_key, "product_catalog_key", "left").join(by_ids, list(PARSED), "left").select("*", *names)
     # sorted before null amounts read 0: they sort as nulls
     return out.orderBy(*sort_columns(order)).select(
         "bank_transaction_key",
