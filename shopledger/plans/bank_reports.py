@@ -238,6 +238,14 @@ def bank_order(sort_by=None, sort_order="desc") -> Order:
     return [("transaction_date", True), ("bank_transaction_key", True)]
 
 
+def _goes_to_every_task(lookup: DataFrame) -> bool:
+    """True if the planner broadcasts this side of a join: the rows of the other side are not shuffled for it."""
+    size = lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    spark = lookup.sparkSession
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return int(str(size)) <= spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most)
+
+
 def browse_bank_transactions(
     bank,
     accounts,
@@ -256,22 +264,22 @@ def browse_bank_transactions(
     ``after``: the values that the last row seen has in the columns of ``bank_order``; the page starts behind it.
 
     The lookups have one row per key and do not change the row count, so the page is cut before them: they are joined to
-    ``limit`` rows, not to the fact. Without a limit all rows are joined; what is read, and what is named, is then written and
-    the shuffle files before it go, so that the disk never holds the shuffles of all steps.
+    ``limit`` rows, not to the fact. Without a limit all rows are joined; where that shuffles them, what is read, and what is
+    named, is written and the shuffle files before it go, so that the disk never holds the shuffles of all steps.
     """
     rows = date_filter(search_bank(bank, search, account_number), dim_time, "transaction_date_key", attributes=["full_date"], how="left")
     rows = rows.withColumnRenamed("full_date", "transaction_date")
     order = bank_order(sort_by, sort_order)
-    whole = limit is None and not offset
+    by_key = catalog.select("product_catalog_key", *[F.col(c).alias(f"key_{c}") for c in NAMES])
+    by_ids = catalog.select(
+        *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
+    )
+    whole = limit is None and not offset and not (_goes_to_every_task(by_key) and _goes_to_every_task(by_ids))
     if whole:
         rows = rows if after is None else rows.filter(after_row(order, after))
         cut = through_table(rows.select(*_BROWSED), "bank-rows", "zstd")
     else:
         cut = page(rows, order, limit, offset, after)
-    by_key = catalog.select("product_catalog_key", *[F.col(c).alias(f"key_{c}") for c in NAMES])
-    by_ids = catalog.select(
-        *[F.col(c).alias(p) for p, c in PARSED.items()], *[F.col(c).alias(f"ids_{c}") for c in NAMES]
-    )
     out = cut.join(accounts.select("bank_account_key", "account_name"), "bank_account_key", "left")
     names = [F.coalesce(f"key_{c}", f"ids_{c}").alias(c) for c in NAMES]
     if whole:
